@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from arrayloom.llm.chunks import ChunkEncoder, id_type
+from arrayloom.llm.chunks import ChunkEncoder, id_type, spelled
 from arrayloom.llm.common import binaries, slices
 
 
@@ -34,21 +34,6 @@ def read_ranks(data: bytes) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
-def byte_letters() -> list[str]:
-    """A printable character for each byte: itself where Latin-1 has one, else the next from U+0100 on."""
-    keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
-
-
-LETTERS = byte_letters()
-_TO_LETTERS = dict(enumerate(LETTERS))
-
-
-def spelled(data: bytes) -> str:
-    return data.decode("latin-1").translate(_TO_LETTERS)
-
-
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 0x7F:
@@ -89,7 +74,7 @@ class ByteBpe:
         self.known = {t: i for i, t in enumerate(self.tokens)}
         self.split = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
-        self.chunks = ChunkEncoder(self._encode_chunks)
+        self.chunks = ChunkEncoder(self._encode_chunks, self.kind)
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
@@ -99,8 +84,9 @@ class ByteBpe:
         known = self.known
         return [np.array([i for x in c for i in ((known[x],) if x in known else ids[x])], self.kind).tobytes() for c in cut]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, self.kind) for x in self.chunks(texts)]
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each begins and the last ends."""
+        return self.chunks(column)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -134,10 +120,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def fn(bpe: ByteBpe, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in slices(batch.column(1)):
-            ids = bpe.encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
-            flat = pa.array(np.concatenate(ids).astype(np.int32))
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
+            ids, ends = bpe.encode(batch.column(1).slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     return _mapped(docs.sparkSession, ranks_path, pattern, fn, docs.select("doc_id", "text"), "doc_id long, ids array<int>")
 
@@ -158,7 +142,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def fn(bpe: ByteBpe, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, made, back = [], [], []
         for a, b in slices(batch.column(1)):
-            for ids in bpe.encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]):
+            flat, ends = bpe.encode(batch.column(1).slice(a, b - a))
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                ids = flat[start:end]
                 n.append(len(ids))
                 made.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

@@ -1,9 +1,10 @@
 """Tokenise by remembered chunks.
 
 The pattern that splits a text before the merges lets a space stand only at the start of a pre-token, so a pre-token
-always ends between a character that isn't white space and a space. A text cut there is encoded chunk by chunk, and
-equal chunks are encoded once. Chunks after white space (two spaces, a line end before a space) are cut by a slower
-rule. What is remembered is bounded by weight and forgotten as a whole when full.
+always ends between a character that isn't white space and a space. Texts are cut there, chunks are told apart by a
+64-bit hash, and each distinct chunk is encoded once; the ids of a text are gathered from those of its chunks. A space
+after other white space, or after a character that may be white space beyond ASCII, is no cut. What is remembered is
+bounded by a number of chunks.
 """
 
 from __future__ import annotations
@@ -12,57 +13,84 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
-_CUT = re.compile(r"(?<=\S) ")
+from arrayloom.llm.common import text_buffer
+from arrayloom.llm.words import hashes
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+
+
+def chunk_starts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks begin, and bounds: text d has the chunks bounds[d] to bounds[d + 1]."""
+    cut = np.zeros(len(buf), bool)
+    if len(buf) > 1:
+        cut[1:] = (buf[1:] == 0x20) & ~_BLANK[buf[:-1]]
+        at = np.flatnonzero(cut)
+        last, two, three = buf[at - 1], buf[np.maximum(at - 2, 0)], buf[np.maximum(at - 3, 0)]
+        unsure = (last >= 0x80) & ((two == 0xC2) & ((last == 0x85) | (last == 0xA0)) | (three >= 0xE1) & (three <= 0xE3))
+        cut[at[unsure]] = False
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.searchsorted(starts, offsets)
 
 
 class ChunkEncoder:
-    """encode: list of strings to a list of bytes, the ids of each. Texts in, ids' bytes out."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most_weight: int = 96 << 20) -> None:
-        self.encode, self.most = encode, most_weight
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes | None] = {}
-        self.odd: dict[str, bytes] = {}
-        self.weight = 0
-
-    def _learn(self, known: dict, new: set[str], lead: str) -> None:
-        new = list(new)
-        known.update(zip(new, self.encode([lead + x for x in new]), strict=True))
-        self.weight += sum(map(len, new)) + 200 * len(new)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.weight > self.most:
-            self.first.clear(), self.rest.clear(), self.odd.clear()
-            self.weight = 0
-        cut = [x.split(" ") for x in texts]
-        slow = []
-        firsts = {x[0] for x in cut} - self.first.keys()
-        new: set[str] = set()
-        for x in cut:
-            new.update(x[1:])
-        new -= self.rest.keys()
-        safe = {x for x in new if x and not x[-1].isspace()}
-        self._learn(self.rest, safe, " ")
-        self.rest.update(dict.fromkeys(new - safe))
-        self._learn(self.first, firsts, "")
-        out: list[bytes | None] = []
-        get = self.rest.__getitem__
-        for i, x in enumerate(cut):
-            ids = list(map(get, x[1:]))
-            if None in ids or len(x) > 1 and (not x[0] or x[0][-1].isspace()):
-                slow.append(i)
-                out.append(None)
-            else:
-                ids.insert(0, self.first[x[0]])
-                out.append(b"".join(ids))
-        if slow:
-            cut = [_CUT.split(texts[i]) for i in slow]
-            self._learn(self.first, {x[0] for x in cut} - self.first.keys(), "")
-            self._learn(self.odd, {y for x in cut for y in x[1:]} - self.odd.keys(), " ")
-            for i, x in zip(slow, cut, strict=True):
-                out[i] = b"".join([self.first[x[0]], *map(self.odd.__getitem__, x[1:])])
-        return out
+    """encode: list of strings to a list of bytes, the ids (of type `kind`) of each.
+
+    The chunks met first stay known; beyond `most` of them, later ones are known until they are a quarter as many.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], kind: str, most: int = 1_500_000) -> None:
+        self.encode, self.kind, self.most = encode, kind, most
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known chunks; their ids are flat[start : start + size]
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.flat = np.zeros(1 << 16, kind)
+        self.used = self.kept = 0
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        """keys: sorted, none of them known."""
+        made = self.encode(chunks)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.flat.itemsize
+        total = self.used + int(sizes.sum())
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, len(self.flat) * 3 // 2) - self.used, self.kind)])
+        self.flat[self.used : total] = np.frombuffer(b"".join(made), self.kind)
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes.astype(np.int32))
+        self.keys = np.insert(self.keys, at, keys)
+        self.used = total
+
+    def _forget(self) -> None:
+        """Drop what was learnt after the first `most` chunks."""
+        if not self.kept and len(self.keys) >= self.most:
+            self.kept = self.used
+        if self.kept and len(self.keys) > self.most * 5 // 4 and self.used > self.kept:
+            stay = self.start < self.kept
+            self.keys, self.start, self.size = self.keys[stay], self.start[stay], self.size[stay]
+            self.used = self.kept
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column one after the other, and len + 1 offsets; null is empty."""
+        self._forget()
+        buf, offsets = text_buffer(column)
+        starts, bounds = chunk_starts(buf, offsets)
+        ends = np.append(starts[1:], len(buf))
+        keys, first, which = np.unique(hashes(buf, starts, ends, raw=True), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            data = buf.tobytes()
+            self._learn(keys[new], [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        at = at[which]
+        size = self.size[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.append(0, ends)[bounds]
 
 
 _kept: dict[tuple, ChunkEncoder] = {}
@@ -73,23 +101,64 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def byte_letters() -> list[str]:
+    """A printable character for each byte: itself where Latin-1 has one, else the next from U+0100 on."""
+    keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
+
+
+LETTERS = byte_letters()
+_TO_LETTERS = dict(enumerate(LETTERS))
+
+
+def spelled(data: bytes) -> str:
+    """Bytes as a byte-level vocabulary spells them."""
+    return data.decode("latin-1").translate(_TO_LETTERS)
+
+
+def _plain_byte_level(definition: dict) -> bool:
+    """Whether a tokenizer is byte-level BPE that splits by the usual pattern and does nothing else to a text."""
+    cut = definition.get("pre_tokenizer") or {}
+    same = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    return bool(same and definition["model"]["type"] == "BPE" and not definition.get("normalizer"))
+
+
 def tokenizer_encoder(definition: bytes, kind: str) -> ChunkEncoder:
-    """An encoder by the tokenizers library, one per worker process, from the bytes of a tokenizer's JSON file."""
+    """An encoder by the tokenizers library, one per worker process, from the bytes of a tokenizer's JSON file.
+
+    The library's model encodes each distinct pre-token of a call once; a chunk with an added token's string goes
+    through the library's whole tokenizer.
+    """
     key = (hash(definition), kind)
     if key not in _kept:
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(definition.decode())
-        batch = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        tok, says = Tokenizer.from_str(definition.decode()), json.loads(definition)
+        if not _plain_byte_level(says):
+            raise ValueError("the tokenizer isn't plain byte-level BPE")
+        added = [x["content"] for x in says.get("added_tokens", [])]
+        special = re.compile("|".join(map(re.escape, added))) if added else None
+        cut, model = regex.compile(public_tokenizers.PATTERN), tok.model
+
+        def whole(text: str) -> bytes:
+            return np.array(tok.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
         def encode(texts: list[str]) -> list[bytes]:
-            return [np.array(x.ids, kind).tobytes() for x in batch(texts, add_special_tokens=False)]
+            odd = {i for i, x in enumerate(texts) if special.search(x)} if special and any(map("\n".join(texts).__contains__, added)) else ()
+            parts = [cut.findall(x) for x in texts]
+            new = {y for x in parts for y in x}
+            ids = {x: np.array([t.id for t in model.tokenize(spelled(x.encode()))], kind).tobytes() for x in new}
+            return [whole(t) if i in odd else b"".join(map(ids.__getitem__, x)) for i, (t, x) in enumerate(zip(texts, parts, strict=True))]
 
         _kept.clear()
-        _kept[key] = ChunkEncoder(encode)
+        _kept[key] = ChunkEncoder(encode, kind)
     return _kept[key]
 
 

@@ -34,7 +34,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[DataFr
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                ids = [x + end for x in encoder([x or "" for x in part.column(1).to_pylist()])]
+                flat, ends = encoder(part.column(1))
+                data, ends = flat.tobytes(), (ends * width).tolist()
+                ids = [data[i:j] + end for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 n = [len(x) // width for x in ids]
                 base = []
                 for source, k in zip(part.column(2).to_pylist(), n, strict=True):

@@ -45,6 +45,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _EXACT = stream(11, 256)
 _EXACT[SPACE] = 0
+_RAW = stream(12, 256)
 _LOWER = _EXACT.copy()
 _LOWER[ord("A") : ord("Z") + 1] = _LOWER[ord("a") : ord("z") + 1]
 _tables: dict[str, np.ndarray] = {}
@@ -80,10 +81,13 @@ def _long_word(values: np.ndarray, up: np.ndarray) -> np.uint64:
     return total
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A hash for each word, in blocks of words that span a bounded number of bytes."""
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, raw: bool = False) -> np.ndarray:
+    """A hash for each word, in blocks of words that span a bounded number of bytes.
+
+    raw: spans that tile the buffer, in which white space counts as any other byte.
+    """
     up, down = _power_tables()
-    table = _LOWER if lower else _EXACT
+    table = _RAW if raw else _LOWER if lower else _EXACT
     out = np.empty(len(starts), U)
     a = 0
     while a < len(starts):
