@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arrayloom.llm import byte_bpe, packing, token_files
+from arrayloom.llm import byte_bpe, nearest, packing, quality, token_files, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +26,26 @@ def op3_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_warc_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir))
+
+
+def op7_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (toxicity.fold() == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, token_files.written(_documents(spark, sf_dir), TOKENIZER))
 
@@ -32,6 +53,10 @@ def op10_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op3_sentencepiece_byte_bpe": op3_sentencepiece_byte_bpe,
+    "op4_warc_boundary_chains": op4_warc_boundary_chains,
+    "op6_compression_bands": op6_compression_bands,
+    "op7_block_matrix_neighbours": op7_block_matrix_neighbours,
+    "op9_subword_toxicity": op9_subword_toxicity,
     "op10_range_coded_tokens": op10_range_coded_tokens,
 }
 ORACLE_SQL: dict[str, str] = {}
