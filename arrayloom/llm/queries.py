@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.llm import byte_bpe, nearest, packing, quality, token_files, toxicity, warc
+from arrayloom.llm import brown, byte_bpe, near, nearest, packing, passages, quality, token_files, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,10 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op2_coordinate_join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
+
+
 def op3_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
@@ -30,6 +34,10 @@ def op4_warc_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_documents(spark, sf_dir))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir))
 
@@ -39,6 +47,10 @@ def op7_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op8_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(_documents(spark, sf_dir))
+
+
 def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -52,10 +64,13 @@ def op10_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
+    "op2_coordinate_join_near_duplicates": op2_coordinate_join_near_duplicates,
     "op3_sentencepiece_byte_bpe": op3_sentencepiece_byte_bpe,
     "op4_warc_boundary_chains": op4_warc_boundary_chains,
+    "op5_chained_passages": op5_chained_passages,
     "op6_compression_bands": op6_compression_bands,
     "op7_block_matrix_neighbours": op7_block_matrix_neighbours,
+    "op8_brown_class_scores": op8_brown_class_scores,
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_range_coded_tokens": op10_range_coded_tokens,
 }
