@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from arrayloom.plans import registry
-from arrayloom.plans import stats_queries  # noqa: F401  registers its queries
+from arrayloom.plans import array_queries, frame_queries, random_queries, registry, stats_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, registry.Query]:
