@@ -104,8 +104,7 @@ class SlidingWindow:
             grid = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
             flush = self.starts[i][-1]
             if flush % s:  # the last window isn't on the grid of strides
-                on_grid = F.filter(grid, lambda g, s=s, w=w, d=d, flush=flush: g * s != flush)
-                on_grid = F.filter(on_grid, lambda g, n=n: g < n - 1)
+                on_grid = F.filter(grid, lambda g: g < n - 1)  # noqa: B023  used at once
                 grid = F.when((F.col(d) >= flush) & (F.col(d) < flush + w), F.concat(on_grid, F.array(F.lit(n - 1).cast("bigint")))).otherwise(on_grid)
             out = out.withColumn(f"g{i}", F.explode(grid)).withColumn(f"start{i}", F.least(F.col(f"g{i}") * s, F.lit(flush)))
         return out
