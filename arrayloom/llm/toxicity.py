@@ -46,7 +46,8 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside, buckets = [], []
     h = np.zeros(n, U)
     for k in range(max(SIZES)):
-        h[: n - k] = h[: n - k] * U(0x100000001B3) + code[k:]
+        if k < n:
+            h[: n - k] = h[: n - k] * U(0x100000001B3) + code[k:]
         if k + 1 in SIZES:
             inside.append((at + k <= end) & (at < marks[-1]))
             buckets.append((mix(h + U(k)) >> U(64 - BITS)).astype(np.int32))

@@ -115,6 +115,7 @@ def test_subwords_are_bounded_by_words():
     flat, starts = toxicity.subwords([b"ab", b"abc", "é".encode()])
     counts = np.diff(np.append(starts, len(flat))).tolist()
     assert counts == [3, 6, 1]  # " ab " has 2 + 1, " abc " 3 + 2 + 1, " é " 1
+    assert not len(toxicity.subwords([b"a"])[0]) - 1
     again, _ = toxicity.subwords([b"abc"])
     assert again.tolist() == flat[3:9].tolist()
 
