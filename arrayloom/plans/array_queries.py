@@ -163,11 +163,11 @@ def arr_matmul(spark, sf_dir):
     return _out(m.matmul(m.T))
 
 
-@query("matmul_gram", f"WITH {_E} SELECT a.d1 AS d0, b.d1 AS d1, round(sum(a.v * b.v), 3) AS v FROM e a JOIN e b ON a.d0 = b.d0 GROUP BY 1, 2")
+@query("matmul_gram", f"WITH {_E} SELECT a.d1 AS d0, b.d1 AS d1, round(sum(a.v * b.v), 7) AS v FROM e a JOIN e b ON a.d0 = b.d0 GROUP BY 1, 2")
 def matmul_gram(spark, sf_dir):
     """The 64 x 64 product of the transposed matrix with itself."""
     m = _matrix(spark, sf_dir)
-    return _out(m.T.matmul(m), 3)
+    return _out(m.T.matmul(m), 7)
 
 
 @query("arr_kron", f"WITH {_E}, {_S}, t AS (SELECT * FROM s WHERE d0 < 2 AND d1 < 3) SELECT a.d0 * 2 + b.d0 AS d0, a.d1 * 3 + b.d1 AS d1, round(a.v * b.v, 6) AS v FROM s a, t b")
