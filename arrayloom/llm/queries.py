@@ -74,4 +74,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_range_coded_tokens": op10_range_coded_tokens,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: For the others SQL has no counterpart (tokenizers, compression, trained models) or sums doubles in another order.
+ORACLE_SQL: dict[str, str] = {
+    "op2_coordinate_join_near_duplicates": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS x FROM w),
+        n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON r.doc_id = e.a)
+        SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op4_warc_boundary_chains": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN strlen(html) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN strlen(html) >= 100 AND page_id <> first THEN first END AS refers_to FROM p""",
+}
