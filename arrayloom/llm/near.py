@@ -11,9 +11,10 @@ else posts are skipped, and so is a class that shares fewer than AGREE pairs wit
 any shared pair are merged into one pair of classes, whose collisions are counted over the whole signatures. Survivors
 are confirmed on their full sets.
 
-A large group isn't expanded into all pairs. First each class is compared with the first class of its lists; what that
-connects needs no more comparisons, since only components are wanted. Then classes that share a list but aren't yet
-connected are compared, all of them, so that no link between components is missed.
+A large group isn't expanded into all pairs. First each class is compared with the most typical class of its lists (the
+one that shares most of its pairs with others); what that connects needs no more comparisons, since only components are
+wanted. Classes that share a list share its typical class, so then, for each typical class, those of its classes that
+aren't connected yet are compared in blocks, as matrices of full sets; a task returns links, no pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; one of fewer
 than k words has its words as one shingle; repeated rows are of one class and share a result (if their doc_id is the
@@ -78,13 +79,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
-    """key, node: the prefix pairs of classes (node, sig) that others share."""
+    """key, node, shared: the prefix pairs of classes (node, sig) that others share, and how many pairs of the node others share."""
     value = F.col("value").cast("long") + F.lit(2**31)
     posted = classes.select("node", F.posexplode("sig").alias("coordinate", "value")).select(((F.col("coordinate").cast("long") * F.lit(2**32)) + value).alias("key"), "node")
     counted = posted.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
     of_node = Window.partitionBy("node")
     ranked = counted.withColumns({"shared": F.count("*").over(of_node), "place": F.row_number().over(of_node.orderBy("df", "key"))})
-    return ranked.where(F.col("place") <= F.col("shared") - (AGREE - 1)).select("key", "node")
+    return ranked.where(F.col("place") <= F.col("shared") - (AGREE - 1)).select("key", "node", "shared")
 
 
 def colliding(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -142,6 +143,66 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return sets.groupBy("a", "part").applyInArrow(compare, "a long, b long")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share, by products of membership matrices, a range of elements at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(n > 1) - 1
+    kept = n[column] > 1
+    owner, column = owner[kept], rank[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [start, start + 4096])
+        member = np.zeros((len(sets), 4096), np.float32)
+        member[owner[i:j], column[i:j] - start] = 1
+        out += member @ member.T
+    return out
+
+
+def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different groups among the members (lead, node, group) of each lead: enough to connect all that are similar.
+
+    Members are numbered by group and cut into blocks of PER_GROUP; two blocks make a task, unless all their members are
+    of one group. A task compares full sets as matrices and returns one link for each two groups that it connects.
+    """
+    order = Window.partitionBy("lead").orderBy("group", "node")
+    blocked = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / PER_GROUP).cast("int"))
+    blocked, _ = staged(blocked, "blocks")
+    ends = blocked.groupBy("lead", "block").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    side = lambda c: ends.select("lead", F.col("block").alias(f"block_{c}"), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
+    mixed = F.least("low_x", "low_y") < F.greatest("high_x", "high_y")
+    tasks = side("x").join(side("y"), "lead").where((F.col("block_x") <= F.col("block_y")) & mixed).select("lead", "block_x", "block_y")
+    uses = tasks.select("lead", "block_x", "block_y", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
+    copies = uses.join(blocked, ["lead", "block"]).groupBy("node").agg(F.collect_list(F.struct("lead", "block_x", "block_y", "group")).alias("tasks"))
+    wanted, _ = staged(copies.join(classes.select("node", F.col("representative").alias("doc_id"), "class"), "node"), "wanted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), "doc_id").select("node", "class", "tasks", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, c, node, tasks in zip(sets_of(batch.column("text"), k), *(batch.column(x).to_pylist() for x in ("class", "node", "tasks")), strict=True):
+                if digest(s) == c:
+                    n, data = len(tasks), _packed(s)
+                    cols = [pa.array([t[x] for t in tasks], kind) for x, kind in (("lead", pa.int64()), ("block_x", pa.int32()), ("block_y", pa.int32()), ("group", pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(n, node)), binaries([data] * n)], names=["lead", "block_x", "block_y", "group", "node", "data"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = {node: (group, data) for node, group, data in zip(*(table.column(x).to_pylist() for x in ("node", "group", "data")), strict=True)}
+        nodes = sorted(found)
+        sets = [_unpacked(found[x][1]) for x in nodes]
+        group = np.array([found[x][0] for x in nodes])
+        size = np.array([len(x) for x in sets])
+        both = shared_counts(sets)
+        similar = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (group[:, None] < group[None, :])
+        i, j = np.nonzero(similar)
+        _, one = np.unique(np.stack([group[i], group[j]]), axis=1, return_index=True)
+        return pa.table([pa.array([nodes[x] for x in i[one]], pa.int64()), pa.array([nodes[x] for x in j[one]], pa.int64())], names=["a", "b"])
+
+    sent = rows.mapInArrow(run, "lead long, block_x int, block_y int, group long, node long, data binary")
+    return sent.groupBy("lead", "block_x", "block_y").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id = component_id) of each row."""
     made, _ = staged(signatures(docs, k), "signatures")
@@ -149,21 +210,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes, _ = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     postings, _ = staged(prefix_postings(classes.where("representative IS NOT NULL")), "postings")
 
-    first = Window.partitionBy("key")
-    stars = postings.withColumn("a", F.min("node").over(first)).where("a < node").select("a", F.col("node").alias("b")).distinct()
-    tried, _ = staged(colliding(stars, classes, percent), "stars")
-    links, _ = staged(confirmed(tried, classes, docs, k, percent), "links")
+    best = F.min(F.struct((-F.col("shared")).alias("shared"), "node")).over(Window.partitionBy("key"))
+    led, _ = staged(postings.select(best["node"].alias("lead"), "node").distinct(), "led")
+    stars = led.where("lead <> node").groupBy(F.least("lead", "node").alias("x"), F.greatest("lead", "node").alias("y")).agg(F.min("lead").alias("a"))
+    stars = stars.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+    links, _ = staged(confirmed(colliding(stars, classes, percent), classes, docs, k, percent), "links")
     groups, _ = staged(components(links), "groups")
 
     named = groups.withColumnRenamed("component", "group")
-    labelled = postings.join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    split = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    open_lists = labelled.join(split, "key", "left_semi")
-    x, y = (open_lists.select("key", F.col("node").alias(c), F.col("group").alias(f"group_{c}")) for c in "ab")
-    rest = x.join(y, "key").where("a < b AND group_a <> group_b").select("a", "b").distinct()
-    further, _ = staged(colliding(rest.join(tried, ["a", "b"], "left_anti"), classes, percent), "rest")
-    if further.limit(1).count():
-        more, _ = staged(confirmed(further, classes, docs, k, percent), "more_links")
+    labelled = led.join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    split = labelled.groupBy("lead").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("lead")
+    if split.limit(1).count():
+        more, _ = staged(block_links(labelled.join(split, "lead", "left_semi"), classes, docs, k, percent), "more_links")
         groups, _ = staged(components(links.unionByName(more)), "groups")
 
     member = classes.select("node", "class", "representative").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
