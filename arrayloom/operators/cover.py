@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.sources.store import settled
+
 
 def greedy_cover(sets: DataFrame, set_id: str, item: str, values: DataFrame | None = None, weights: dict | None = None, max_weight: float | None = None) -> list:
     """Set ids in the order chosen: each time the set of most uncovered value, ties to the smallest id.
 
     sets: a row for each item of each set. values: item, value (else each item is worth 1). weights bound the whole: the
     loop ends once they reach max_weight, or when no set adds anything. Each round is one aggregation; the driver sees a
-    row of it. Coverage is kept in the shared checkpoint folder every few rounds so that plans stay short.
+    row of it. What is left is settled every few rounds so that plans stay short.
     """
-    spark = sets.sparkSession
     rows = sets.select(F.col(set_id).alias("s"), F.col(item).alias("x")).distinct()
     if values is not None:
         names = values.columns
@@ -29,8 +30,8 @@ def greedy_cover(sets: DataFrame, set_id: str, item: str, values: DataFrame | No
         weight += (weights or {}).get(best.s, 1)
         covered = rows.where(F.col("s") == F.lit(best.s)).select("x")
         left = left.join(covered, "x", "left_anti").where(F.col("s") != F.lit(best.s))
-        if len(chosen) % 4 == 0 and spark.conf.get("spark.checkpoint.dir", None):
-            left = left.checkpoint()
+        if len(chosen) % 4 == 0:
+            left = settled(left)
     return chosen
 
 

@@ -49,10 +49,13 @@ def padded_slice(df: DataFrame, pos: str, value: str, start: int, stop: int, pad
     if low > high:
         raise ValueError("the slice ends before it starts")
     by = by or []
-    spark = df.sparkSession
-    places = spark.range(low, high).withColumnRenamed("id", "_at")
-    groups = df.select(*by, *([size] if size else [])).distinct() if by or size else None
-    grid = places if groups is None else groups.crossJoin(F.broadcast(places))  # the slice's own length
+    if low == high:
+        return df.select(*by, pos, value).limit(0)
+    if by or size:
+        groups = df.select(*by, *([size] if size else [])).distinct()
+        grid = groups.withColumn("_at", F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high - 1).cast("bigint"))))
+    else:
+        grid = df.sparkSession.range(low, high).withColumnRenamed("id", "_at")
     source = F.col("_at") if mode == "constant" else F.greatest(F.lit(0), F.least(F.col("_at"), F.col(size) - 1))
     grid = grid.withColumn(pos, source)
     out = grid.join(df.select(*by, pos, value), [*by, pos], "left")

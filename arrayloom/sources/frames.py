@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arrayloom.sources.store import settled
+
 POS = "pos"
 
 
@@ -50,12 +52,13 @@ def with_positions(df: DataFrame, order: list[str], pos: str = POS) -> DataFrame
     """df with positions 0 to n - 1 in the given order; ties are broken by all columns.
 
     Rows are sorted in range partitions, numbered within each, and moved by the sizes of the partitions before; only
-    those sizes meet in one place.
+    those sizes meet in one place. The sorted rows are settled, since bounds of ranges are sampled: computed twice, they
+    could differ.
     """
     ties = [c for c in df.columns if c not in order]
     keys = [*order, *ties]
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(F.lit(2**33 - 1))})
+    placed = settled(placed).withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(F.lit(2**33 - 1))})
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
