@@ -2,16 +2,17 @@
 
 A word is the mean of the embeddings of its character 3- to 5-grams (with marks for its start and end, hashed into a
 fixed number of buckets), so an unseen misspelling shares most of its vector with the word it hides. A window of WINDOW
-words is the mean of its words (a shorter text is filled up with zero vectors), and a linear softmax over that mean gives the window's logit. Toxic wording is rare even
-in toxic documents, so windows of toxic documents are noisy examples; a document's score comes from its highest window:
-a two-parameter logistic curve over that logit, fitted on the training documents.
+words is the mean of its distinct words, so that repetition adds nothing; where words are missing, the mean of clean
+windows stands for them. A linear softmax over that mean gives the window's logit. Toxic wording is rare even in toxic
+documents, so windows of toxic documents are noisy examples; a document's score comes from its highest window: a
+two-parameter logistic curve over that logit, fitted on the training documents.
 
 Since the softmax is linear in the mean, a trained model comes down to one number per bucket; scoring adds numbers up.
 
 Training uses at most `per_class` labelled documents of either class (those with the smallest hashes of their ids) and
 at most `windows` windows of each, evenly spread; both bounds are parameters. Scoring covers all words of all texts.
 
-Defined cases: a null or empty text has no window and the logit of the bias alone; null or other labels than 0 and 1 and
+Defined cases: a null or empty text scores as a window without words; null or other labels than 0 and 1 and
 null ids aren't trained on; without labels of both classes every score is 0; repeated rows and ids get a score each;
 repeated labels of an id count once, and ids with both labels are left out; an empty table gives no rows.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from arrayloom.llm.common import slices, text_buffer
 from arrayloom.llm.words import U, hashes, mix, spans
 
-BITS, WINDOW, SIZES = 17, 12, (3, 4, 5)
+BITS, WINDOW, SIZES = 17, 16, (3, 4, 5)
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def _means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def spread(which: np.ndarray, text: np.ndarray, word_of: np.ndarray, bucket: np.ndarray, words: int, buckets: int) -> np.ndarray:
     """In how many texts each bucket occurs; a text counts once for each of its words that has the bucket."""
-    pairs = np.unique(text.astype(np.int64) * words + which)
+    pairs = np.unique(text.astype(np.int64) * np.int64(words) + which)
     return np.bincount(bucket, np.bincount(pairs % words, minlength=words)[word_of], buckets)
 
 
@@ -102,17 +103,22 @@ class Model:
     slope: float
     shift: float
     trained: bool = True
+    fill: float = 0.0  # the logit that stands for a word where a window has none: the mean of clean windows
 
     def highest(self, column: pa.Array) -> np.ndarray:
         """The highest window's logit of each text."""
         w = words_of(column)
-        out = np.full(len(column), self.bias)
+        out = np.full(len(column), self.bias + self.fill)
         if len(w.which):
             buckets, starts = subwords(w.distinct)
             per_word = _means(self.weights[buckets], starts)
             at, ends, text = windows_of(w.bounds)
-            total = np.append(0, np.cumsum(per_word[w.which], dtype=np.float64))
-            logits = (total[ends] - total[at]) / WINDOW + self.bias
+            place = at[:, None] + np.arange(WINDOW)
+            ids = np.where(place < ends[:, None], w.which[np.minimum(place, len(w.which) - 1)], -1)
+            ids.sort(axis=1)
+            once = ids >= 0
+            once[:, 1:] &= ids[:, 1:] != ids[:, :-1]
+            logits = np.where(once, per_word[ids], self.fill).sum(axis=1, dtype=np.float64) / WINDOW + self.bias
             first = np.flatnonzero(np.diff(text, prepend=-1))
             out[text[first]] = np.maximum.reduceat(logits, first)
         return out
@@ -138,7 +144,7 @@ def _highest(logit: np.ndarray, text: np.ndarray, share: float) -> np.ndarray:
     return rank < np.maximum(1, np.ceil(n * share))[text]
 
 
-def train(texts: list[str], labels: np.ndarray, prevalence: float = 0.1, windows: int = 32, dim: int = 8, steps: int = 100, rate: float = 1.0, out_rate: float = 0.5, min_docs: int = 20, again: int = 25, shares: tuple[float, ...] = (0.3, 0.2, 0.1), decay: float = 5e-3, seed: int = 1) -> Model:
+def train(texts: list[str], labels: np.ndarray, prevalence: float = 0.1, windows: int = 24, dim: int = 8, steps: int = 100, rate: float = 1.0, out_rate: float = 0.5, min_docs: int = 20, again: int = 25, shares: tuple[float, ...] = (0.3, 0.2, 0.1), decay: float = 5e-3, seed: int = 1) -> Model:
     """Fit embeddings and softmax on windows by gradient descent with momentum over the whole sample, then the curve.
 
     A bucket's step is scaled by one over the root of its occurrences, so that what exceeds chance counts; buckets in
@@ -158,12 +164,16 @@ def train(texts: list[str], labels: np.ndarray, prevalence: float = 0.1, windows
     places = np.concatenate([np.arange(a, b) for a, b in zip(at, ends, strict=True)])
     used, which = np.unique(w.which[places], return_inverse=True)
     lengths = ends - at
-    begins = np.cumsum(lengths) - lengths
     window_of = np.repeat(np.arange(len(at)), lengths)
+    key = np.unique(window_of * np.int64(len(used)) + which)  # a word counts once in a window
+    window_of, which = key // len(used), key % len(used)
+    begins = np.searchsorted(window_of, np.arange(len(at)))
     buckets, starts = subwords([w.distinct[i] for i in used])
     known, bucket_no = np.unique(buckets, return_inverse=True)
-    n_grams = np.diff(np.append(starts, len(buckets)))
-    word_of = np.repeat(np.arange(len(used)), n_grams)
+    n_grams = np.diff(np.append(starts, len(buckets))).astype(np.float32)
+    bucket_no, which, window_of = (x.astype(np.int32) for x in (bucket_no, which, window_of))
+    word_of = np.repeat(np.arange(len(used), dtype=np.int32), n_grams.astype(np.int64))
+    del buckets, places, key
     y = labels[text].astype(np.float32)
     weight = _balanced(y, np.ones(len(y), bool))
     rng = np.random.default_rng(seed)
@@ -173,13 +183,15 @@ def train(texts: list[str], labels: np.ndarray, prevalence: float = 0.1, windows
     common = spread(which, text[window_of], word_of, bucket_no, len(used), len(known)) >= min_docs
     seen = np.bincount(bucket_no, np.bincount(which, minlength=len(used))[word_of], len(known))
     scale = np.where(common, 1 / np.sqrt(np.maximum(seen, 1)), 0)[:, None].astype(np.float32)  # a gradient beyond chance counts
+    mean = np.empty((len(at), dim), np.float32)
     move_e, move_o, move_b = np.zeros_like(emb), np.zeros_like(out), np.zeros_like(bias)
     unit = 0.0
     for t in range(1, steps + 1):
         if t > 1 and t % again == 1:  # from now on a toxic document's highest windows are the examples
             weight = _balanced(y, (y == 0) | _highest(z[:, 1] - z[:, 0], text, shares[min(len(shares), t // again) - 1]))
-        words = _means(emb[bucket_no], starts)
-        mean = np.add.reduceat(words[which], begins, axis=0) / WINDOW
+        for d in range(dim):  # a dimension at a time: what is gathered is long
+            word = np.add.reduceat(emb[bucket_no, d], starts) / n_grams
+            mean[:, d] = np.add.reduceat(word[which], begins) / WINDOW
         z = mean @ out + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -192,18 +204,22 @@ def train(texts: list[str], labels: np.ndarray, prevalence: float = 0.1, windows
             g_word = np.bincount(which, g_mean[window_of, d], len(used)) / n_grams
             g_emb[:, d] = np.bincount(bucket_no, g_word[word_of], len(known))
         g_emb *= scale
-        unit = unit or float(np.sqrt((g_emb**2).sum(axis=1)).max())
-        move_e = 0.9 * move_e - rate / unit * g_emb
+        size = float(np.sqrt((g_emb**2).sum(axis=1)).max())
+        unit = unit or size
+        move_e = 0.9 * move_e - rate / max(unit, size) * g_emb  # no step is longer than the first one
         emb += move_e - decay * emb
-        move_o = 0.9 * move_o - out_rate * g_out
+        slow = out_rate * min(1.0, unit / max(size, 1e-12))
+        move_o = 0.9 * move_o - slow * g_out / max(1.0, float(np.abs(g_out).max()))
         out += move_o
-        move_b = 0.9 * move_b - out_rate * g_bias
+        move_b = 0.9 * move_b - slow * g_bias
         bias += move_b
     emb[~common] = 0
     weights = np.zeros(1 << BITS, np.float32)
     weights[known] = emb @ (out[:, 1] - out[:, 0])
     model = Model(weights, float(bias[1] - bias[0]), 1.0, 0.0)
-    top = np.concatenate([model.highest(column.slice(a, b - a)) for a, b in slices(column, 8 << 20)])
+    clean = (y == 0)[window_of]
+    model.fill = float(_means(weights[known[bucket_no]], starts)[which[clean]].mean())
+    top = np.concatenate([model.highest(column.slice(a, b - a)) for a, b in slices(column, 2 << 20)])
     return _curve(model, top, labels, prevalence)
 
 
@@ -213,7 +229,7 @@ def _curve(model: Model, top: np.ndarray, labels: np.ndarray, prevalence: float)
     x = np.stack([(top - centre) / scale, np.ones(len(top))], axis=1)
     weight = np.where(labels == 1, prevalence / (labels == 1).mean(), (1 - prevalence) / (labels == 0).mean())
     b = np.zeros(2)
-    ridge = np.diag([1e-2, 1e-6]) * len(top)
+    ridge = np.diag([3e-4, 1e-6]) * len(top)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (labels - p)) - ridge @ b)
