@@ -154,3 +154,9 @@ def test_passages_are_found_and_cut(spark):
 def test_without_spans_keeps_the_rest():
     assert passages.without_spans("a  b\nc d é f ", [(1, 3), (4, 5)]) == "a  d f "
     assert passages.without_spans("a b", [(0, 9)]) == ""
+
+
+def test_runs_of_one_word_match_place_by_place(spark):
+    rows = [(1, "a start " + "same " * 300), (2, "x y z " + "same " * 200 + "end"), (3, " ".join(f"q{i}" for i in range(100)))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in found} == {(2, 1)} and max(r.end - r.start for r in found) >= 195
