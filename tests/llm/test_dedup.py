@@ -160,3 +160,19 @@ def test_runs_of_one_word_match_place_by_place(spark):
     rows = [(1, "a start " + "same " * 300), (2, "x y z " + "same " * 200 + "end"), (3, " ".join(f"q{i}" for i in range(100)))]
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.source_doc_id) for r in found} == {(2, 1)} and max(r.end - r.start for r in found) >= 195
+
+
+def test_fuzzy_passages_down_to_eighty_percent(spark):
+    """50 words of which 5 to 8 are replaced (84 to 90 % agreement), all in a document of their own."""
+    rng = random.Random(21)
+    word = lambda: f"z{rng.randrange(10**6)}"
+    rows = []
+    for i in range(120):
+        passage = [word() for _ in range(50)]
+        copy = list(passage)
+        for j in rng.sample(range(5, 45), 5 + i % 4):
+            copy[j] = word()
+        for p in (passage, copy):
+            rows.append((len(rows), " ".join([word() for _ in range(60)] + p + [word() for _ in range(60)])))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in found} == {(i + 1, i) for i in range(0, 240, 2)}
