@@ -176,3 +176,20 @@ def test_fuzzy_passages_down_to_eighty_percent(spark):
             rows.append((len(rows), " ".join([word() for _ in range(60)] + p + [word() for _ in range(60)])))
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.source_doc_id) for r in found} == {(i + 1, i) for i in range(0, 240, 2)}
+
+
+@pytest.mark.parametrize("pieces", [[(0, 30), (30, 60)], [(0, 34), (26, 60)], [(0, 25), (18, 43), (36, 60)]])
+def test_passages_whose_fragments_stand_in_earlier_documents(spark, pieces):
+    rng = random.Random(5)
+    word = lambda: f"f{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    parts = [passage[a:b] for a, b in pieces] + [passage]
+    parts = parts + parts + [passage]  # fragments stand between the whole ones as well
+    rows = [(i, " ".join([word() for _ in range(50)] + p + [word() for _ in range(50)])) for i, p in enumerate(parts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first, n = len(pieces), len(parts)
+    whole = [2 * first + 1, n - 1]
+    found = {(r.doc_id, r.source_doc_id): (r.start, r.end) for r in passages.repeated_passages(df).collect()}
+    assert all((b, first) in found and found[b, first][0] <= 50 and found[b, first][1] >= 110 for b in whole)
+    cut = {r.doc_id: r.text.split() for r in passages.passages_removed(df).collect()}
+    assert all(not set(passage) & set(cut[b]) and len(cut[b]) == 100 for b in whole) and len(cut[first]) == 160
