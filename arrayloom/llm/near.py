@@ -64,18 +64,18 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), class (a digest of the set; null if empty), sig."""
+    """doc_id, text_hash, n (set size), class (a digest of the set; null if empty), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls, sig = [], [], []
-            for s in sets_of(batch.column(1), k):
+            for s in sets_of(batch.column(2), k):
                 n.append(len(s))
                 cls.append(digest(s) if len(s) else None)
                 sig.append(signature(s).view(np.int32).tolist() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n", "class", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "n", "class", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, class binary, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, class binary, sig array<int>")
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
@@ -205,6 +205,11 @@ def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id = component_id) of each row."""
+    return _judged(docs, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates with text_hash, and component (the number of the component, null for an empty set)."""
     made, _ = staged(signatures(docs, k), "signatures")
     grouped = made.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("representative"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes, _ = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -226,16 +231,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     member = classes.select("node", "class", "representative").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = member.groupBy("component").agg(F.min("representative").alias("component_id"))
-    named = member.join(smallest, "component").select("class", "component_id")
-    out = made.select("doc_id", "n", "class").join(named, "class", "left")
+    named = member.join(smallest, "component").select("class", "component", "component_id")
+    out = made.select("doc_id", "text_hash", "n", "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), "component").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each component, and every row of an empty set, with all columns."""
-    found, _ = staged(near_duplicates(docs, k, percent).select("doc_id", "kept"), "kept")
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.limit(1).count() == 0 else left.dropDuplicates()
+    found, _ = staged(_judged(docs, k, percent).select("doc_id", "text_hash", "component", "kept").where("component IS NOT NULL AND doc_id IS NOT NULL"), "kept")
+    stays = found.where("kept").groupBy("component").agg(F.min("text_hash").alias("stays"), F.count("*").alias("rows"))
+    several, _ = staged(stays.where("rows > 1"), "several")  # rows that share the doc_id of their component
+    gone = found.where("NOT kept").select("doc_id", "text_hash")
+    more = several.limit(1).count() > 0
+    if more:
+        kept = found.where("kept").join(several, "component")
+        gone = gone.unionByName(kept.where("text_hash <> stays").select("doc_id", "text_hash"))
+    gone = gone.distinct().withColumnsRenamed({"doc_id": "_gone_id", "text_hash": "_gone_hash"})
+    met = (docs["doc_id"].cast("long") == F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_hash"))
+    left = docs.join(small(gone), met, "left_anti").select(docs.columns)
+    if not more:
+        return left
+    alike = kept.where("text_hash = stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    met = (left["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(left["text"]) == F.col("_hash"))
+    one = left.join(alike, met, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(alike, met, "left_anti").unionByName(one)

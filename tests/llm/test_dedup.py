@@ -193,3 +193,14 @@ def test_passages_whose_fragments_stand_in_earlier_documents(spark, pieces):
     assert all((b, first) in found and found[b, first][0] <= 50 and found[b, first][1] >= 110 for b in whole)
     cut = {r.doc_id: r.text.split() for r in passages.passages_removed(df).collect()}
     assert all(not set(passage) & set(cut[b]) and len(cut[b]) == 100 for b in whole) and len(cut[first]) == 160
+
+
+def test_removal_where_ids_repeat(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"r{rng.randrange(10**6)}" for _ in range(40))
+    x, y, z = text(), text(), text()
+    rows = [(1, x), (5, x), (5, y), (6, y), (7, z), (7, z + " end"), (8, ""), (8, ""), (9, "lone"), (9, "other")]
+    kept = near.duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    got = sorted((r.doc_id, r.text) for r in kept)
+    assert [r for r in got if r[0] != 7] == [(1, x), (5, y), (8, ""), (8, ""), (9, "lone"), (9, "other")]
+    assert sum(r.doc_id == 7 for r in kept) == 1
