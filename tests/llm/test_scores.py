@@ -166,3 +166,12 @@ def test_exchange_finds_two_languages():
         x[a, b] += 1
     cls = brown.exchange(x, classes=3, sweeps=20)
     assert cls[-1] == 0 and len(set(cls[:10])) == 1 and len(set(cls[10:20])) == 1 and cls[0] != cls[10]
+
+
+def test_the_end_of_a_text_is_judged():
+    rng = random.Random(4)
+    text = prose(rng, 3000)[:4500] + " " + " ".join(["again and"] * 400)
+    text = text[:8191]
+    assert len(text) < 8192 and quality.measures(pa.array([text]))["bad_chunks"].tolist() == [1]
+    whole = prose(rng, 3000)[:8191]
+    assert quality.measures(pa.array([whole, whole[:4096], whole[:4097]]))["bad_chunks"].tolist() == [0, 0, 0]
