@@ -3,9 +3,11 @@
 No model is trained: the ModelProto is serialised by hand. Each rank's byte string becomes a piece of printable
 characters (one per byte), its score is the negative rank, normalisation is the identity, and no space is added or
 removed. A BPE model merges the adjacent pair of the highest score, leftmost first, which is the merge order of the rank
-file. Pre-tokens (matches of the pattern) are encoded apart; ids are the ranks. Decoding maps ids back to bytes.
+file. Pre-tokens (matches of the pattern) are encoded apart; ids are the ranks. Decoding maps ids to the model's pieces
+and their characters back to bytes.
 
-A pre-token that is itself in the vocabulary is that id, as in tiktoken, whether or not merges lead there.
+A pre-token that is itself in the vocabulary is that id, as in tiktoken, whether or not merges lead there: the model
+encodes its own vocabulary once, and the few entries that it doesn't merge to their own rank are exceptions.
 
 Defined cases: a null text is empty, an empty text has no ids; repeated rows and ids give a row each; an empty table
 gives no rows; columns other than the id and the text are ignored.
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from arrayloom.llm.chunks import ChunkEncoder, id_type, spelled
+from arrayloom.llm.chunks import ChunkEncoder, id_type, spelled, unspelled
 from arrayloom.llm.common import binaries, slices
 
 
@@ -71,32 +73,33 @@ class ByteBpe:
 
         self.tokens = read_ranks(ranks)
         self.kind = id_type(len(self.tokens))
-        self.known = {t: i for i, t in enumerate(self.tokens)}
         self.split = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         self.chunks = ChunkEncoder(self._encode_chunks, self.kind)
-        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        self.pieces = [unspelled(self.model.id_to_piece(i)) for i in range(len(self.tokens))]
+        merged = self.model.encode([spelled(t) for t in self.tokens], num_threads=1)
+        self.exceptions = {t: [i] for i, (t, ids) in enumerate(zip(self.tokens, merged, strict=True)) if ids != [i]}
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         cut = [[x.encode() for x in self.split.findall(c)] for c in chunks]
-        new = list({x for c in cut for x in c if x not in self.known})
+        new = list({x for c in cut for x in c})
         ids = dict(zip(new, self.model.encode([spelled(x) for x in new], num_threads=1), strict=True)) if new else {}
-        known = self.known
-        return [np.array([i for x in c for i in ((known[x],) if x in known else ids[x])], self.kind).tobytes() for c in cut]
+        ids |= self.exceptions
+        return [np.array([i for x in c for i in ids[x]], self.kind).tobytes() for c in cut]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each begins and the last ends."""
         return self.chunks(column)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
 _models: dict[tuple, ByteBpe] = {}
 
 
 def model(ranks: bytes, pattern: str) -> ByteBpe:
-    key = (hash(ranks), pattern)
+    key = (ranks, pattern)
     if key not in _models:
         _models.clear()
         _models[key] = ByteBpe(ranks, pattern)

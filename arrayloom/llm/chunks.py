@@ -1,10 +1,10 @@
 """Tokenise by remembered chunks.
 
 The pattern that splits a text before the merges lets a space stand only at the start of a pre-token, so a pre-token
-always ends between a character that isn't white space and a space. Texts are cut there, chunks are told apart by a
-64-bit hash, and each distinct chunk is encoded once; the ids of a text are gathered from those of its chunks. A space
-after other white space, or after a character that may be white space beyond ASCII, is no cut. What is remembered is
-bounded by a number of chunks.
+always ends between a character that isn't white space and a space. Texts are cut there, and each distinct chunk is
+encoded once; the ids of a text are gathered from those of its chunks. Chunks are looked up by a hash and then compared
+byte by byte. A space after other white space, or after a character that may be white space beyond ASCII, is no cut. What
+is remembered is bounded by a number of chunks and the length of each.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 from arrayloom.llm.common import text_buffer
-from arrayloom.llm.words import hashes
+from arrayloom.llm.words import distinct
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
@@ -39,58 +39,90 @@ def chunk_starts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class ChunkEncoder:
     """encode: list of strings to a list of bytes, the ids (of type `kind`) of each.
 
-    The chunks met first stay known; beyond `most` of them, later ones are known until they are a quarter as many.
+    The chunks met first stay known; beyond `most` of them, later ones are known until they are a quarter as many. A
+    chunk of more than `longest` bytes, or one whose hash a different known chunk has, is encoded each time.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], kind: str, most: int = 1_500_000) -> None:
-        self.encode, self.kind, self.most = encode, kind, most
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known chunks; their ids are flat[start : start + size]
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.flat = np.zeros(1 << 16, kind)
-        self.used = self.kept = 0
-
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        """keys: sorted, none of them known."""
-        made = self.encode(chunks)
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) // self.flat.itemsize
-        total = self.used + int(sizes.sum())
-        if total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, len(self.flat) * 3 // 2) - self.used, self.kind)])
-        self.flat[self.used : total] = np.frombuffer(b"".join(made), self.kind)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], kind: str, most: int = 1_200_000, longest: int = 256) -> None:
+        self.encode, self.kind, self.most, self.longest = encode, kind, most, longest
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known chunks
+        self.start, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)  # where their ids and their bytes begin
+        self.size, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.bytes = np.zeros(1 << 16, kind), np.zeros(1 << 16, np.uint8)
+        self.used = self.filled = 0
+        self.kept: tuple[int, int] | None = None
+
+    def _made(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        made = self.encode([data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        return np.frombuffer(b"".join(made), self.kind), np.fromiter(map(len, made), np.int64, len(made)) // self.flat.itemsize
+
+    def _learn(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """keys: sorted, different, none of them known."""
+        first = np.cumsum(lengths) - lengths
+        self.flat, self.bytes = _room(self.flat, self.used + len(ids)), _room(self.bytes, self.filled + int(lengths.sum()))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.bytes[self.filled : self.filled + int(lengths.sum())] = buf[np.repeat(starts - first, lengths) + np.arange(int(lengths.sum()))]
         at = np.searchsorted(self.keys, keys)
-        self.start = np.insert(self.start, at, self.used + np.cumsum(sizes) - sizes)
-        self.size = np.insert(self.size, at, sizes.astype(np.int32))
+        self.start, self.size = np.insert(self.start, at, self.used + np.cumsum(sizes) - sizes), np.insert(self.size, at, sizes.astype(np.int32))
+        self.at, self.length = np.insert(self.at, at, self.filled + first), np.insert(self.length, at, lengths.astype(np.int32))
         self.keys = np.insert(self.keys, at, keys)
-        self.used = total
+        self.used += len(ids)
+        self.filled += int(lengths.sum())
 
     def _forget(self) -> None:
         """Drop what was learnt after the first `most` chunks."""
-        if not self.kept and len(self.keys) >= self.most:
-            self.kept = self.used
-        if self.kept and len(self.keys) > self.most * 5 // 4 and self.used > self.kept:
-            stay = self.start < self.kept
-            self.keys, self.start, self.size = self.keys[stay], self.start[stay], self.size[stay]
-            self.used = self.kept
+        if self.kept is None and len(self.keys) >= self.most:
+            self.kept = self.used, self.filled
+        if self.kept and len(self.keys) > self.most * 5 // 4:
+            stay = self.at < self.kept[1]
+            self.keys, self.start, self.size, self.at, self.length = (x[stay] for x in (self.keys, self.start, self.size, self.at, self.length))
+            self.used, self.filled = self.kept
+
+    def _find(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each chunk's hash is among the known ones (or -1), and whether it is the known chunk, byte by byte."""
+        at = np.searchsorted(self.keys, keys)
+        if not len(self.keys):
+            return np.full(len(keys), -1), np.zeros(len(keys), bool)
+        at = np.minimum(at, len(self.keys) - 1)
+        at[self.keys[at] != keys] = -1
+        right = (at >= 0) & (self.length[at] == lengths)
+        hit = np.flatnonzero(right)
+        if len(hit):
+            n = lengths[hit]
+            first = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(first, n)
+            right[hit] = np.logical_and.reduceat(buf[np.repeat(starts[hit], n) + step] == self.bytes[np.repeat(self.at[at[hit]], n) + step], first)
+        return at, right
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a column one after the other, and len + 1 offsets; null is empty."""
         self._forget()
         buf, offsets = text_buffer(column)
         starts, bounds = chunk_starts(buf, offsets)
-        ends = np.append(starts[1:], len(buf))
-        keys, first, which = np.unique(hashes(buf, starts, ends, raw=True), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        keys, first, which = distinct(buf, starts, np.append(starts[1:], len(buf)), "raw")
+        begin = starts[first]
+        length = np.append(starts[1:], len(buf))[first] - begin
+        at, right = self._find(keys, buf, begin, length)
+        new = np.flatnonzero(~right)
+        size, where = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        flat = self.flat
         if len(new):
-            data = buf.tobytes()
-            self._learn(keys[new], [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        at = at[which]
-        size = self.size[at]
-        ends = np.cumsum(size, dtype=np.int64)
-        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.append(0, ends)[bounds]
+            ids, sizes = self._made(buf.tobytes(), begin[new], begin[new] + length[new])
+            fit = (at[new] < 0) & (length[new] <= self.longest) & np.append(True, keys[new][1:] != keys[new][:-1])
+            size[new], where[new] = sizes, np.cumsum(sizes) - sizes + self.used
+            flat = np.concatenate([self.flat[: self.used], ids])
+        size[right], where[right] = self.size[at[right]], self.start[at[right]]
+        size, where = size[which], where[which]
+        ends = np.cumsum(size)
+        out = flat[np.repeat(where - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        if len(new) and fit.any():
+            own = np.repeat(fit, sizes)
+            self._learn(keys[new[fit]], buf, begin[new[fit]], length[new[fit]], ids[own], sizes[fit])
+        return out, np.append(0, ends)[bounds]
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, len(x) * 3 // 2) - len(x), x.dtype)])
 
 
 _kept: dict[tuple, ChunkEncoder] = {}
@@ -117,6 +149,14 @@ def spelled(data: bytes) -> str:
     return data.decode("latin-1").translate(_TO_LETTERS)
 
 
+_TO_BYTES = {ord(x): i for i, x in enumerate(LETTERS)}
+
+
+def unspelled(piece: str) -> bytes:
+    """The bytes that a piece of a byte-level vocabulary stands for."""
+    return bytes(_TO_BYTES[ord(x)] for x in piece)
+
+
 def _plain_byte_level(definition: dict) -> bool:
     """Whether a tokenizer is byte-level BPE that splits by the usual pattern and does nothing else to a text."""
     cut = definition.get("pre_tokenizer") or {}
@@ -130,7 +170,7 @@ def tokenizer_encoder(definition: bytes, kind: str) -> ChunkEncoder:
     The library's model encodes each distinct pre-token of a call once; a chunk with an added token's string goes
     through the library's whole tokenizer.
     """
-    key = (hash(definition), kind)
+    key = (definition, kind)
     if key not in _kept:
         import json
         import os

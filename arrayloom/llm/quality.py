@@ -2,8 +2,9 @@
 
 Base counts: code points in words, symbol characters, repeated lines, words inside repeated 5-word windows. Compression
 bands: the zstandard ratio (compressed bytes over bytes) of the whole text, and of its consecutive chunks of CHUNK bytes
-(the last one ends with the text and overlaps the one before), must lie between a lower limit (below: repetitive) and an upper one (above: incompressible) that depend on the length.
-A text is rejected if its whole ratio leaves its band, or if more than a quarter of its chunks leave theirs.
+(the last one ends with the text and overlaps the one before), must lie between a lower limit (below: repetitive) and an
+upper one (above: incompressible) that depend on the length. A text of up to CHUNK bytes is a chunk of its own, which the
+band of the whole judges. A text is rejected if its whole ratio leaves its band, or if more than a quarter of its chunks leave theirs.
 
 Prose of the four languages at hand lies well within the bands (for 1 to 2 KB, ratios of 0.47 to 0.60 in 99 % of texts
 marked good; repeated lines lie below 0.2, base64 and random letters above 0.75). Texts under 128 bytes compress too
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from arrayloom.llm.common import slices, text_buffer
-from arrayloom.llm.words import U, grams, hashes, mix, spans
+from arrayloom.llm.words import U, distinct, grams, hashes, mix, same, spans
 
 #: From so many bytes on, the lowest and the highest ratio that is kept.
 BANDS = [(0, 0.0, 9.0), (128, 0.36, 1.05), (256, 0.36, 0.92), (512, 0.34, 0.82), (1024, 0.32, 0.74), (2048, 0.30, 0.70), (4096, 0.28, 0.66), (16384, 0.26, 0.64)]
@@ -35,20 +36,27 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 _BLANK = " \t\n\v\f\r"
 
 
-def repeated_words(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> np.ndarray:
-    """Of each text, the words that lie in a k-word window found twice or more in that text."""
-    n = len(words)
+def repeated_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, k: int = 5) -> np.ndarray:
+    """Of each text, the words that lie in a k-word window found twice or more in that text.
+
+    Windows are sorted by a hash; neighbours with equal hashes are compared byte by byte.
+    """
+    n = len(starts)
     covered = np.zeros(n + 1, np.int64)
     if n >= k:
         text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        inside = text[: n - k + 1] == text[k - 1 :]
-        keys = mix(grams(words, k) ^ mix(text[: n - k + 1].astype(U) + U(1)))
-        keys[~inside] = np.arange(n - k + 1, dtype=U)[~inside]
-        ordered = np.sort(keys[inside])
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if len(twice):
-            at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-            hit = np.flatnonzero(inside & (twice[at] == keys))
+        at = np.flatnonzero(text[: n - k + 1] == text[k - 1 :])
+        keys = mix(grams(hashes(buf, starts, ends, "exact"), k)[at] ^ mix(text[at].astype(U) + U(1)))
+        order = np.argsort(keys, kind="stable")
+        alike = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+        i, j = at[order[alike]], at[order[alike + 1]]
+        if not ((text[i] == text[j]).all() and all(same(buf, starts, ends, i + d, j + d).all() for d in range(k))):
+            _, _, word = distinct(buf, starts, ends, "exact")
+            _, keys = np.unique(np.stack([text[at], *(word[at + d] for d in range(k))], axis=1), axis=0, return_inverse=True)
+            order = np.argsort(keys, kind="stable")
+            alike = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+        hit = at[order[np.union1d(alike, alike + 1)]]
+        if len(hit):
             step = np.zeros(n + 1, np.int64)
             np.add.at(step, hit, 1)
             np.add.at(step, hit + k, -1)
@@ -93,7 +101,7 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
     press = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
     parts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     pressed = [compression(x, press) for x in parts]
-    repeats = repeated_words(hashes(buf, starts, ends, lower=False), bounds)
+    repeats = repeated_words(buf, starts, ends, bounds)
     failed = (n_words < 10) | (100 * repeats > 20 * n_words)
     return {
         "n_words": n_words,

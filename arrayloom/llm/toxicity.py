@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrayloom.llm.common import slices, text_buffer
-from arrayloom.llm.words import U, hashes, mix, spans
+from arrayloom.llm.words import U, distinct, mix, spans
 
 BITS, WINDOW, SIZES = 17, 16, (3, 4, 5)
 
@@ -69,7 +69,7 @@ class Words:
 def words_of(column: pa.Array) -> Words:
     buf, offsets = text_buffer(column)
     starts, ends, bounds = spans(buf, offsets)
-    _, first, which = np.unique(hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    _, first, which = distinct(buf, starts, ends)
     data = buf.tobytes()
     return Words([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], which, bounds)
 

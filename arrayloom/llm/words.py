@@ -1,18 +1,26 @@
 """Words of many texts at once, as 64-bit hashes, without a Python loop over words.
 
-A word is a maximal run of bytes other than space and 0x09 to 0x0D. Its hash is a polynomial over bytes, modulo 2^64,
-with a random value for each byte (A-Z have those of a-z if asked), passed through a mixing function. Two different
-words share a hash with a probability of about 2^-50 or less, two different k-word shingles likewise.
+A word is a maximal run of bytes other than space and 0x09 to 0x0D. Its hash is multilinear: the sum, modulo 2^64, of a
+random number for each place in the word times a random number for each byte (A-Z have those of a-z if asked), passed
+through a mixing function; words of more than PLACES bytes are hashed by xxh3. Different words, of whatever letters and
+lengths, share a hash by a chance of about 2^-60 a pair. There are two such hashes (lanes), which share nothing.
+
+What must be exact doesn't rest on one hash: `distinct` and `same` compare bytes, what is told apart across a whole corpus
+has both lanes.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
+
+from arrayloom.llm.common import text_buffer
 
 U = np.uint64
 _M1, _M2, _STEP = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
-_BASE = 0xD1342543DE82EF95
-_CHUNK = 1 << 19
+PLACES = 4096
+_BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,32 +38,20 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U) * U(_STEP)) + U(seed * 0x5851F42D4C957F2D % 2**64))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, U)
-    out[0] = 1
-    have = 1
-    while have < n:
-        more = min(have, n - have)
-        out[have : have + more] = out[:more] * U(pow(base, have, 2**64))
-        have += more
-    return out
-
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_EXACT = stream(11, 256)
-_EXACT[SPACE] = 0
-_RAW = stream(12, 256)
-_LOWER = _EXACT.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _LOWER[ord("a") : ord("z") + 1]
-_tables: dict[str, np.ndarray] = {}
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[ord("A") : ord("Z") + 1] += 32
+_PLACE = [stream(31 + lane, PLACES) | U(1) for lane in (0, 1)]
 
 
-def _power_tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _tables:
-        _tables["up"] = _powers(_BASE, _CHUNK)
-        _tables["down"] = _powers(pow(_BASE, -1, 2**64), _CHUNK)
-    return _tables["up"], _tables["down"]
+def _tables(lane: int) -> dict[str, np.ndarray]:
+    exact, raw = stream(11 + 20 * lane, 256), stream(12 + 20 * lane, 256)
+    exact[SPACE] = 0
+    return {"exact": exact, "lower": exact[FOLD], "raw": raw}
+
+
+_BYTE = [_tables(lane) for lane in (0, 1)]
 
 
 def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,39 +68,82 @@ def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def _long_word(values: np.ndarray, up: np.ndarray) -> np.uint64:
-    total, shift = U(0), 1
-    for a in range(0, len(values), _CHUNK):
-        part = values[a : a + _CHUNK]
-        total = U((int(total) + int((part * up[: len(part)]).sum(dtype=U)) * shift) % 2**64)
-        shift = shift * pow(_BASE, _CHUNK, 2**64) % 2**64
-    return total
-
-
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, raw: bool = False) -> np.ndarray:
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str = "lower", lane: int = 0) -> np.ndarray:
     """A hash for each word, in blocks of words that span a bounded number of bytes.
 
-    raw: spans that tile the buffer, in which white space counts as any other byte.
+    kind: "lower" or "exact", or "raw" for spans that tile the buffer, in which white space counts as any other byte.
     """
-    up, down = _power_tables()
-    table = _RAW if raw else _LOWER if lower else _EXACT
+    table, place = _BYTE[lane][kind], _PLACE[lane]
     out = np.empty(len(starts), U)
     a = 0
     while a < len(starts):
-        at = starts[a]
-        b = int(np.searchsorted(ends, at + _CHUNK, "right"))
-        if b <= a:
-            out[a] = _long_word(table[buf[at : ends[a]]], up)
-            a += 1
+        at = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, at + _BLOCK, "right")))
+        if b == a + 1 and ends[a] - at > PLACES:
+            out[a] = _long(buf[at : ends[a]], kind, lane)
+            a = b
             continue
-        weighted = table[buf[at : ends[b - 1]]]
-        weighted *= up[: len(weighted)]
-        first = starts[a:b] - at
-        out[a:b] = np.add.reduceat(weighted, first) * down[first]
+        first = (starts[a:b] - at).astype(np.int32)
+        n = int(ends[b - 1]) - at
+        where = np.arange(n, dtype=np.int32)
+        where -= np.repeat(first, np.diff(first, append=np.int32(n)))
+        where &= PLACES - 1
+        weighted = table[buf[at : at + n]]
+        weighted *= place[where]
+        out[a:b] = np.add.reduceat(weighted, first)
+        for i in np.flatnonzero(ends[a:b] - starts[a:b] > PLACES) + a:
+            out[i] = _long(buf[starts[i] : ends[i]], kind, lane)
         a = b
     return mix(out)
 
 
+def _long(word: np.ndarray, kind: str, lane: int) -> np.uint64:
+    return U(xxhash.xxh3_64_intdigest((FOLD[word] if kind == "lower" else word).tobytes(), 41 + lane))
+
+
+def same(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Whether word i[n] and word j[n] have the same bytes, for each n."""
+    size = ends[i] - starts[i]
+    out = size == ends[j] - starts[j]
+    pairs = np.flatnonzero(out & (starts[i] != starts[j]))
+    a = 0
+    while a < len(pairs):
+        upto = np.cumsum(size[i_ := pairs[a : a + (1 << 18)]])
+        b = max(1, int(np.searchsorted(upto, 1 << 22, "right")))
+        n, some = size[i_[:b]], i_[:b]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        x, y = buf[np.repeat(starts[i[some]], n) + step], buf[np.repeat(starts[j[some]], n) + step]
+        if lower:
+            x, y = FOLD[x], FOLD[y]
+        out[some] = np.logical_and.reduceat(x == y, first)
+        a += b
+    return out
+
+
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str = "lower") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of different words: their sorted hashes, where each stands first; and which of them each word is. Bytes are compared."""
+    keys, first, which = np.unique(hashes(buf, starts, ends, kind), return_index=True, return_inverse=True)
+    if same(buf, starts, ends, np.arange(len(starts)), first[which], kind == "lower").all():
+        return keys, first, which
+    number: dict[bytes, int] = {}  # different words share a hash: number them by their bytes; keys aren't unique any more
+    data = (FOLD[buf] if kind == "lower" else buf).tobytes()
+    which = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    _, first = np.unique(which, return_index=True)
+    found = hashes(buf, starts[first], ends[first], kind) if kind != "raw" else hashes(buf, starts, ends, kind)[first]
+    order = np.argsort(found, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], first[order], rank[which]
+
+
+def hashed(column: pa.Array, kind: str = "lower", lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a column, and len + 1 bounds: text d has the words bounds[d] to bounds[d + 1]."""
+    buf, offsets = text_buffer(column)
+    starts, ends, bounds = spans(buf, offsets)
+    return hashes(buf, starts, ends, kind, lane), bounds
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """The hash of words[i : i + k] for each i; the caller drops those that cross from one text into the next."""
     n = len(words) - k + 1
