@@ -35,7 +35,7 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> t
     """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.block.size.row.check.min", 4)  # row groups that many tasks can read
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path), path
 
