@@ -2,24 +2,28 @@
 
 A document is the set of its k-word shingles (lower-cased A-Z). Documents of equal sets form a class, and only classes
 are compared. A class has a MinHash signature of COORDINATES values; it is posted under its (coordinate, value) pairs.
-Two sets of a Jaccard similarity of 0.8 agree in each coordinate with probability 0.8, so a pair that agrees in fewer
-than AGREE of them is given up (for a similar pair a chance of about 1 in 10^8).
 
-Prefixes: pairs are ordered by how many classes post under them, rare ones first. Two classes that agree in AGREE pairs
-share one of the first COORDINATES - AGREE + 1 of either, so only these prefixes are posted; pairs under which nobody
-else posts are skipped, and so is a class that shares fewer than AGREE pairs with anyone. Merging: candidates met under
-any shared pair are merged into one pair of classes, whose collisions are counted over the whole signatures. Survivors
-are confirmed on their full sets.
+Match threshold: two sets of a Jaccard similarity s agree in each coordinate with probability s; a pair that agrees in
+fewer than `agree` of the coordinates is given up. At s = 0.8 that is a chance of 3 in 10^11 with the default of 28 (2 in
+10^8 with 32, below 10^-13 with 24); a smaller `agree` is the way to an even smaller one.
+
+Prefix and skip merging: pairs are ordered by how many classes post under them, rare ones first. Two classes that agree
+in `agree` pairs share one of the first COORDINATES - agree + 1 of either, so only these lists are merged (pairs under
+which nobody else posts, and classes that share fewer than `agree` pairs with anyone, are skipped). The other, longer
+lists are never merged: whether a candidate stands in them is looked up in its signature. Survivors are confirmed on
+their full sets.
 
 A large group isn't expanded into all pairs. First each class is compared with the most typical class of its lists (the
 one that shares most of its pairs with others); what that connects needs no more comparisons, since only components are
-wanted. Classes that share a list share its typical class, so then, for each typical class, those of its classes that
-aren't connected yet are compared in blocks, as matrices of full sets; a task returns links, no pairs.
+wanted. What a list holds outside its largest component, and only that, then meets the rest of the list: collisions are
+counted in tasks of blocks of signatures, and those above the threshold in other components are confirmed, the best
+FIRST of each class at once, then more of those not connected yet, until nothing is left to compare.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; one of fewer
 than k words has its words as one shingle; repeated rows are of one class and share a result (if their doc_id is the
-smallest, all of them are kept); a null doc_id is never the smallest, and classes of null ids alone have a null
-component and are kept; an empty table gives no rows; other columns are ignored.
+smallest, all of them are kept); a null doc_id is never the smallest, and components of null ids alone have a null
+component and are kept; an empty table gives no rows; other columns are ignored, whatever their names (the removal keeps
+them). Words are told apart by 64-bit hashes, classes by 128 bits of two of them.
 """
 
 from __future__ import annotations
@@ -32,11 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import binaries, slices, small, staged, text_buffer
+from arrayloom.llm.common import binaries, dropped, slices, small, staged, text_buffer
 from arrayloom.llm.components import components
-from arrayloom.llm.words import U, hashes, shingle_set, spans, stream
+from arrayloom.llm.words import U, grams, hashes, spans, stream, whole
 
-COORDINATES, AGREE, PER_GROUP = 64, 32, 128
+COORDINATES, AGREE, PER_GROUP = 64, 28, 128
+#: Signatures of a block and of the classes that meet it; candidates of a class that are confirmed at first, and then.
+BLOCK, PROBES, FIRST = 4096, 2048, (8, 128)
+NULL_LAST = 2**63 - 1
 _A, _B = stream(21, COORDINATES) | U(1), stream(22, COORDINATES)
 
 
@@ -49,210 +56,216 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def digest(shingles: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes())
+def _set(words: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, bytes | None]:
+    """The sorted shingles of a text by one hash of its words, and a digest of the set by both; None of an empty set."""
+    if not len(words):
+        return np.zeros(0, U), None
+    if len(words) < k:
+        one, other = np.array([whole(words)], U), np.array([whole(others)], U)
+    else:
+        one, first = np.unique(grams(words, k), return_index=True)
+        other = grams(others, k)[first]
+    return one, xxhash.xxh3_128_digest(one.tobytes() + other.tobytes())
 
 
-def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The shingle set of each text of a column, in order."""
+def sets_of(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, bytes | None]]:
+    """The shingle set of each text of a column and its digest, in order."""
     for a, b in slices(column):
         buf, offsets = text_buffer(column.slice(a, b - a))
         starts, ends, bounds = spans(buf, offsets)
-        words = hashes(buf, starts, ends)
+        words, others = hashes(buf, starts, ends), hashes(buf, starts, ends, lane=1)
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield shingle_set(words[i:j], k)
+            yield _set(words[i:j], others[i:j], k)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """id (null: NULL_LAST), key (16 bytes that tell texts apart) and text of each row."""
+    return docs.select(*_keys(docs), docs["text"].alias("text"))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, n (set size), class (a digest of the set; null if empty), sig."""
+    """id, key, n (set size), class (a digest of the set; null if empty), sig of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls, sig = [], [], []
-            for s in sets_of(batch.column(2), k):
+            for s, digest in sets_of(batch.column(2), k):
                 n.append(len(s))
-                cls.append(digest(s) if len(s) else None)
-                sig.append(signature(s).view(np.int32).tolist() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "n", "class", "sig"])
+                cls.append(digest)
+                sig.append(signature(s).view(np.int32).tolist() if digest else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["id", "key", "n", "class", "sig"])
+
+    return _keyed(docs).mapInArrow(run, "id long, key binary, n long, class binary, sig array<int>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, class binary, sig array<int>")
 
+def prefix_postings(classes: DataFrame, agree: int = AGREE) -> DataFrame:
+    """list, node, shared: the prefix lists that classes (node, sig) share, and how many pairs of the node others share.
 
-def prefix_postings(classes: DataFrame) -> DataFrame:
-    """key, node, shared: the prefix pairs of classes (node, sig) that others share, and how many pairs of the node others share."""
+    How long a list is comes from an aggregation and a join, which Spark can split where a list is very long.
+    """
     value = F.col("value").cast("long") + F.lit(2**31)
-    posted = classes.select("node", F.posexplode("sig").alias("coordinate", "value")).select(((F.col("coordinate").cast("long") * F.lit(2**32)) + value).alias("key"), "node")
-    counted = posted.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
+    posted = classes.select("node", F.posexplode("sig").alias("coordinate", "value")).select(((F.col("coordinate").cast("long") * F.lit(2**32)) + value).alias("list"), "node")
+    lengths = posted.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
     of_node = Window.partitionBy("node")
-    ranked = counted.withColumns({"shared": F.count("*").over(of_node), "place": F.row_number().over(of_node.orderBy("df", "key"))})
-    return ranked.where(F.col("place") <= F.col("shared") - (AGREE - 1)).select("key", "node", "shared")
+    ranked = posted.join(lengths, "list").withColumns({"shared": F.count("*").over(of_node), "place": F.row_number().over(of_node.orderBy("length", "list"))})
+    return ranked.where(F.col("place") <= F.col("shared") - (agree - 1)).select("list", "node", "shared")
 
 
-def colliding(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree often enough and whose sizes allow the similarity."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    agreed = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (agreed >= AGREE)).select("a", "b")
+def _fits(percent: int):
+    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def _packed(shingles: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes."""
-    return (shingles >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(U).ravel()
+def colliding(pairs: DataFrame, classes: DataFrame, percent: int, agree: int = AGREE) -> DataFrame:
+    """The pairs (a, b), met in a merged list, that collide often enough and whose sizes allow the similarity."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    agreed = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_fits(percent) & (agreed >= agree)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * shared shingles >= percent * all shingles, on full sets taken from the texts again.
 
-    Pairs are grouped by a, PER_GROUP at a time; a set is sent once for each group that it is in.
+    Pairs are grouped by a, about PER_GROUP at a time; a set is sent once for each group that it is in.
     """
-    numbered = pairs.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / PER_GROUP).cast("int"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_GROUP).alias("parts"))
+    numbered = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
     wanted = numbered.select("a", "part", F.col("b").alias("node")).unionByName(numbered.select("a", "part", F.col("a").alias("node")).distinct())
-    wanted = wanted.join(classes.select("node", F.col("representative").alias("doc_id"), "class"), "node")
-    wanted, _ = staged(wanted, "wanted")
+    wanted, _ = staged(wanted.join(classes.select("node", "id", "key"), "node"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(sets_of(batch.column("text"), k))
-            right = [digest(s) == c for s, c in zip(sets, batch.column("class").to_pylist(), strict=True)]  # ids may repeat
-            part = batch.select(["a", "part", "node"]).filter(pa.array(right, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*part.columns, binaries([_packed(s) for s, r in zip(sets, right, strict=True) if r])], names=["a", "part", "node", "data"])
+            data = [s.tobytes() for s, _ in sets_of(batch.column(3), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], binaries(data)], names=["a", "part", "node", "data"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), "doc_id").select("a", "part", "node", "class", "text")
-    sets = rows.mapInArrow(run, "a long, part int, node long, data binary")
+    rows = _keyed(docs).join(small(wanted), ["id", "key"]).select("a", "part", "node", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         a = table.column("a")[0].as_py()
-        data = dict(zip(table.column("node").to_pylist(), table.column("data").to_pylist(), strict=True))  # rows of an id that repeats are equal
-        first = _unpacked(data.pop(a))
+        data = dict(zip(table.column("node").to_pylist(), table.column("data").to_pylist(), strict=True))  # rows of an id and a text that repeat are equal
+        first = np.frombuffer(data.pop(a), U)
         out = []
         for node, packed in data.items():
-            second = _unpacked(packed)
+            second = np.frombuffer(packed, U)
             at = np.minimum(np.searchsorted(first, second), len(first) - 1)
             shared = int((first[at] == second).sum())
             if 100 * shared >= percent * (len(first) + len(second) - shared):
                 out.append(node)
         return pa.table([pa.array([a] * len(out), pa.int64()), pa.array(out, pa.int64())], names=["a", "b"])
 
+    sets = rows.mapInArrow(run, "a long, part int, node long, data binary")
     return sets.groupBy("a", "part").applyInArrow(compare, "a long, b long")
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of the sets share, by products of membership matrices, a range of elements at a time."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(n > 1) - 1
-    kept = n[column] > 1
-    owner, column = owner[kept], rank[column[kept]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)))
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        i, j = np.searchsorted(column, [start, start + 4096])
-        member = np.zeros((len(sets), 4096), np.float32)
-        member[owner[i:j], column[i:j] - start] = 1
-        out += member @ member.T
-    return out
-
+def outside_pairs(members: DataFrame, classes: DataFrame, percent: int, agree: int) -> DataFrame:
+    """a, b, agreed: classes of different groups in one list (lead), one of them outside the list's largest group, that collide often enough.
 
-def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between different groups among the members (lead, node, group) of each lead: enough to connect all that are similar.
-
-    Members are numbered by group and cut into blocks of PER_GROUP; two blocks make a task, unless all their members are
-    of one group. A task compares full sets as matrices and returns one link for each two groups that it connects.
+    members: lead, node, group. A task has a block of a list's signatures and some of those outside; blocks and shares
+    are dealt by hash, so no task has more than about BLOCK and PROBES of them.
     """
-    order = Window.partitionBy("lead").orderBy("group", "node")
-    blocked = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / PER_GROUP).cast("int"))
-    blocked, _ = staged(blocked, "blocks")
-    ends = blocked.groupBy("lead", "block").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-    side = lambda c: ends.select("lead", F.col("block").alias(f"block_{c}"), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
-    mixed = F.least("low_x", "low_y") < F.greatest("high_x", "high_y")
-    tasks = side("x").join(side("y"), "lead").where((F.col("block_x") <= F.col("block_y")) & mixed).select("lead", "block_x", "block_y")
-    uses = tasks.select("lead", "block_x", "block_y", F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block"))
-    copies = uses.join(blocked, ["lead", "block"]).groupBy("node").agg(F.collect_list(F.struct("lead", "block_x", "block_y", "group")).alias("tasks"))
-    wanted, _ = staged(copies.join(classes.select("node", F.col("representative").alias("doc_id"), "class"), "node"), "wanted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), "doc_id").select("node", "class", "tasks", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, c, node, tasks in zip(sets_of(batch.column("text"), k), *(batch.column(x).to_pylist() for x in ("class", "node", "tasks")), strict=True):
-                if digest(s) == c:
-                    n, data = len(tasks), _packed(s)
-                    cols = [pa.array([t[x] for t in tasks], kind) for x, kind in (("lead", pa.int64()), ("block_x", pa.int32()), ("block_y", pa.int32()), ("group", pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(n, node)), binaries([data] * n)], names=["lead", "block_x", "block_y", "group", "node", "data"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        found = {node: (group, data) for node, group, data in zip(*(table.column(x).to_pylist() for x in ("node", "group", "data")), strict=True)}
-        nodes = sorted(found)
-        sets = [_unpacked(found[x][1]) for x in nodes]
-        group = np.array([found[x][0] for x in nodes])
-        size = np.array([len(x) for x in sets])
-        both = shared_counts(sets)
-        similar = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (group[:, None] < group[None, :])
-        i, j = np.nonzero(similar)
-        _, one = np.unique(np.stack([group[i], group[j]]), axis=1, return_index=True)
-        return pa.table([pa.array([nodes[x] for x in i[one]], pa.int64()), pa.array([nodes[x] for x in j[one]], pa.int64())], names=["a", "b"])
-
-    sent = rows.mapInArrow(run, "lead long, block_x int, block_y int, group long, node long, data binary")
-    return sent.groupBy("lead", "block_x", "block_y").applyInArrow(compare, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    groups = members.groupBy("lead", "group").agg(F.count("*").alias("n"))
+    lists = groups.groupBy("lead").agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("groups")).where("groups > 1")
+    lists = lists.select("lead", F.col("most.group").alias("main"), F.ceil(F.col("total") / BLOCK).alias("blocks"), F.ceil((F.col("total") - F.col("most.n")) / PROBES).alias("shares"))
+    held = members.join(lists, "lead").join(classes.select("node", "n", "sig"), "node").withColumn("outside", F.col("group") != F.col("main"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ("lead", "node", "group", "n", "sig", "outside")
+    listed = held.select(*columns, F.pmod(F.xxhash64("node"), "blocks").alias("block"), spread("shares").alias("share"), F.lit(False).alias("probe"))
+    probes = held.where("outside").select(*columns, spread("blocks").alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), "shares").alias("share"), F.lit(True).alias("probe"))
+
+    def collide(table: pa.Table) -> pa.Table:
+        probe, outside = (table.column(c).to_numpy() for c in ("probe", "outside"))
+        node, group, n = (table.column(c).to_numpy() for c in ("node", "group", "n"))
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(table), COORDINATES)
+        lead = table.column("lead")[0].as_py()
+        x, y = np.flatnonzero(probe), np.flatnonzero(~probe & (node != lead))  # the lead has met all
+        found = []
+        for a in range(0, len(x), 256):
+            some = x[a : a + 256]
+            agreed = np.zeros((len(some), len(y)), np.uint8)
+            for c in range(COORDINATES):
+                agreed += sig[some, c][:, None] == sig[y, c][None, :]
+            low, high = np.minimum(n[some][:, None], n[y][None, :]), np.maximum(n[some][:, None], n[y][None, :])
+            right = (agreed >= agree) & (group[some][:, None] != group[y][None, :]) & (100 * low >= percent * high)
+            right &= ~outside[y][None, :] | (node[some][:, None] < node[y][None, :])  # of two outside, one order
+            i, j = np.nonzero(right)
+            found.append((node[some[i]], node[y[j]], agreed[i, j].astype(np.int32)))
+        a, b, c = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return pa.table([a, b, c], names=["a", "b", "agreed"])
+
+    met = listed.unionByName(probes).groupBy("lead", "block", "share").applyInArrow(collide, "a long, b long, agreed int")
+    return met.distinct()
+
+
+def _joined_up(links: DataFrame, path: str, led: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, agree: int) -> DataFrame:
+    """The components of links and of what lists hold beyond them."""
+    spark = docs.sparkSession
+    groups, _ = staged(components(links), "groups")
+    grouped = lambda df, node, name: df.join(groups.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    pairs, at = staged(outside_pairs(grouped(led, "node", "group"), classes, percent, agree), "outside")
+    for most in (*FIRST, None):
+        if not pairs.limit(1).count():
+            break
+        now = pairs
+        if most is not None:
+            now = pairs.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agreed"), "b"))).where(F.col("place") <= most)
+        now, now_at = staged(now.select("a", "b"), "now")
+        more, more_at = staged(confirmed(now, classes, docs, k, percent), "more")
+        links, links_at = staged(links.unionByName(more), "links")
+        groups, _ = staged(components(links), "groups")
+        left = grouped(grouped(pairs, "a", "group_a"), "b", "group_b").where("group_a <> group_b").select("a", "b", "agreed")
+        left, left_at = staged(left.join(now, ["a", "b"], "left_anti"), "outside")
+        for old in (path, at, now_at, more_at):
+            dropped(spark, old)
+        pairs, at, path = left, left_at, links_at
+    return groups
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, agree: int = AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id = component_id) of each row."""
-    return _judged(docs, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+    found = _judged(docs, k, percent, agree)
+    return found.select(F.nullif("id", F.lit(NULL_LAST)).alias("doc_id"), "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """near_duplicates with text_hash, and component (the number of the component, null for an empty set)."""
+def _judged(docs: DataFrame, k: int, percent: int, agree: int) -> DataFrame:
+    """id, key, n_shingles, component_id, component (its number, null for an empty set) of each row."""
+    spark = docs.sparkSession
     made, _ = staged(signatures(docs, k), "signatures")
-    grouped = made.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("representative"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes, _ = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    postings, _ = staged(prefix_postings(classes.where("representative IS NOT NULL")), "postings")
-
-    best = F.min(F.struct((-F.col("shared")).alias("shared"), "node")).over(Window.partitionBy("key"))
-    led, _ = staged(postings.select(best["node"].alias("lead"), "node").distinct(), "led")
+    grouped = made.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "key")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes, _ = staged(grouped.select("class", "least.*", "n", "sig").withColumn("node", F.monotonically_increasing_id()), "classes")
+    postings, at = staged(prefix_postings(classes, agree), "postings")
+    best = postings.groupBy("list").agg(F.min(F.struct((-F.col("shared")).alias("shared"), "node")).alias("best"))
+    led, led_at = staged(postings.join(best.select("list", F.col("best.node").alias("lead")), "list").select("lead", "node").distinct(), "led")
+    dropped(spark, at)
     stars = led.where("lead <> node").groupBy(F.least("lead", "node").alias("x"), F.greatest("lead", "node").alias("y")).agg(F.min("lead").alias("a"))
     stars = stars.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-    links, _ = staged(confirmed(colliding(stars, classes, percent), classes, docs, k, percent), "links")
-    groups, _ = staged(components(links), "groups")
-
-    named = groups.withColumnRenamed("component", "group")
-    labelled = led.join(named, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    split = labelled.groupBy("lead").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("lead")
-    if split.limit(1).count():
-        more, _ = staged(block_links(labelled.join(split, "lead", "left_semi"), classes, docs, k, percent), "more_links")
-        groups, _ = staged(components(links.unionByName(more)), "groups")
-
-    member = classes.select("node", "class", "representative").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = member.groupBy("component").agg(F.min("representative").alias("component_id"))
-    named = member.join(smallest, "component").select("class", "component", "component_id")
-    out = made.select("doc_id", "text_hash", "n", "class").join(named, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), "component").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-
-
-def duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each component, and every row of an empty set, with all columns."""
-    found, _ = staged(_judged(docs, k, percent).select("doc_id", "text_hash", "component", "kept").where("component IS NOT NULL AND doc_id IS NOT NULL"), "kept")
-    stays = found.where("kept").groupBy("component").agg(F.min("text_hash").alias("stays"), F.count("*").alias("rows"))
-    several, _ = staged(stays.where("rows > 1"), "several")  # rows that share the doc_id of their component
-    gone = found.where("NOT kept").select("doc_id", "text_hash")
-    more = several.limit(1).count() > 0
-    if more:
-        kept = found.where("kept").join(several, "component")
-        gone = gone.unionByName(kept.where("text_hash <> stays").select("doc_id", "text_hash"))
-    gone = gone.distinct().withColumnsRenamed({"doc_id": "_gone_id", "text_hash": "_gone_hash"})
-    met = (docs["doc_id"].cast("long") == F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_hash"))
-    left = docs.join(small(gone), met, "left_anti").select(docs.columns)
-    if not more:
-        return left
-    alike = kept.where("text_hash = stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    met = (left["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(left["text"]) == F.col("_hash"))
-    one = left.join(alike, met, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(alike, met, "left_anti").unionByName(one)
+    stars, at = staged(colliding(stars, classes, percent, agree), "stars")
+    links, links_at = staged(confirmed(stars, classes, docs, k, percent), "links")
+    dropped(spark, at)
+    groups = _joined_up(links, links_at, led, classes, docs, k, percent, agree)
+    dropped(spark, led_at)
+    member = classes.select("node", "class", "id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = member.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = member.join(smallest, "component").select("class", "component", F.nullif("component_id", F.lit(NULL_LAST)).alias("component_id"))
+    out = made.select("id", "key", "n", "class").join(named, "class", "left")
+    component = F.when(F.col("class").isNull(), F.nullif("id", F.lit(NULL_LAST))).otherwise(F.col("component_id"))
+    return out.select("id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), "component")
+
+
+def duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80, agree: int = AGREE) -> DataFrame:
+    """One row of docs for each component, and every row of an empty set, with all columns.
+
+    The row that stays has the smallest doc_id (null last), then the smallest digest of the text.
+    """
+    found, _ = staged(_judged(docs, k, percent, agree).where("component IS NOT NULL").groupBy("component", "id", "key").agg(F.count("*").alias("rows")), "judged")
+    stays = found.groupBy("component").agg(F.min(F.struct("id", "key")).alias("stays"))
+    marked = found.join(stays, "component").select("id", "key", (F.struct("id", "key") != F.col("stays")).alias("gone"), "rows")
+    marks, _ = staged(marked.where("gone OR rows > 1").select("id", "key", "gone"), "marks")
+    columns = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), *_keys(docs))
+    joined = rows.join(small(marks), ["id", "key"], "left").where("gone IS NULL OR NOT gone")
+    if marks.where("NOT gone").limit(1).count():  # rows that repeat
+        joined = joined.where("gone IS NULL").unionByName(joined.where("NOT gone").dropDuplicates(["id", "key"]))
+    return joined.select(*[F.col("doc")[c].alias(c) for c in columns])
+
+
+def _keys(docs: DataFrame) -> list:
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_LAST)).alias("id"), F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))).alias("key")]
