@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import new_path, small, staged
+from arrayloom.llm.common import dropped, new_path, small, staged
 
 END, MAGIC = b"\r\n\r\n", b"WARC/1."
 BETWEEN = END + MAGIC
@@ -124,7 +124,7 @@ def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
     out: dict[int, int] = {}
     for at, to in zip(pdf["at"].tolist(), pdf["next"].tolist(), strict=True):
         out[at] = -1 if to is None or to != to or to <= at else out.get(int(to), int(to))
-    return pd.DataFrame({"file": pdf["file"], "block": pdf["block"], "at": pdf["at"], "exit": [out[x] for x in pdf["at"].tolist()]})
+    return pd.DataFrame({"split": pdf["split"], "file": pdf["file"], "at": pdf["at"], "exit": [out[x] for x in pdf["at"].tolist()]})
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,81 +136,118 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
         found.append(at)
         following = to[at]
         at = int(following) if following is not None and following == following and following > at else None
-    return pd.DataFrame({"file": pdf["file"].iloc[:1].repeat(len(found)).to_numpy(), "block": pdf["block"].iloc[:1].repeat(len(found)).to_numpy(), "at": found})
+    return pd.DataFrame({"split": pdf["split"].iloc[:1].repeat(len(found)).to_numpy(), "at": found})
+
+
+def _kept(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that others have too, by a merge join: a staged table's size on disk says little of its size in memory."""
+    return rows.join(others.hint("merge"), on, "left_semi")
 
 
 def reached(candidates: DataFrame) -> DataFrame:
-    """file, block, at of the candidates (file, block, at, next) that the chains from offset 0 reach."""
-    small_rows = candidates.select("file", "block", "at", "next")
-    exits = small_rows.groupBy("file", "block").applyInPandas(_exits, "file string, block long, at long, exit long")
-    exits, _ = staged(exits, "exits")
+    """split, at of the candidates (split, file, at, next) that the chains from offset 0 of each file reach."""
+    spark = candidates.sparkSession
+    rows = candidates.select("split", "file", "at", "next")
+    exits, exits_at = staged(rows.groupBy("split").applyInPandas(_exits, "split long, file long, at long, exit long"), "exits")
     entered = exits.select("file", F.col("exit").alias("at")).distinct()
-    jump = exits.join(entered, ["file", "at"], "left_semi").select("file", "at", F.col("exit").alias("to"))
+    jump = _kept(exits, entered, ["file", "at"]).select("file", "at", F.col("exit").alias("to"))
     start = exits.where("at = 0").select("file", "at")
-    jump, _ = staged(jump.unionByName(exits.where("at = 0").select("file", "at", F.col("exit").alias("to"))).distinct(), "jump")
-    marked, n = start, start.count()
+    jump, jump_at = staged(jump.unionByName(exits.where("at = 0").select("file", "at", F.col("exit").alias("to"))).distinct(), "jump")
+    marked, n, marked_at = start, start.count(), None
     while jump.where("at > 0").limit(1).count():
-        more = marked.join(jump, ["file", "at"]).select("file", F.col("to").alias("at")).join(exits, ["file", "at"], "left_semi")
-        marked, _ = staged(marked.unionByName(more).distinct(), "marked")
+        more = _kept(marked.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at")), exits, ["file", "at"])
+        after, after_at = staged(marked.unionByName(more).distinct(), "marked")
+        if marked_at:
+            dropped(spark, marked_at)
+        marked, marked_at = after, after_at
         now = marked.count()
         if now == n:
             break
         n = now
         further = jump.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
-        jump, _ = staged(jump.join(further, ["file", "to"]).select("file", "at", F.col("then").alias("to")), "jump")
-    entries = exits.join(marked, ["file", "at"], "left_semi").groupBy("file", "block").agg(F.min("at").alias("entry"))
-    with_entry = small_rows.join(entries, ["file", "block"], "left")
-    return with_entry.groupBy("file", "block").applyInPandas(_walk, "file string, block long, at long")
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record: file, at, type, record_id, refers, uri, payload_bytes, digest (of the payload, bare hex)."""
-    found, _ = staged(_pieces(spark, path).mapInArrow(_candidates, CANDIDATES), "candidates")
+        after, after_at = staged(jump.join(further.hint("merge"), ["file", "to"]).select("file", "at", F.col("then").alias("to")), "jump")
+        dropped(spark, jump_at)
+        jump, jump_at = after, after_at
+    entries = _kept(exits, marked, ["file", "at"]).groupBy("split").agg(F.min("at").alias("entry"))  # a row per split
+    chain, _ = staged(rows.join(small(entries), "split", "left").groupBy("split").applyInPandas(_walk, "split long, at long"), "chain")
+    for old in (exits_at, jump_at, *([marked_at] if marked_at else [])):
+        dropped(spark, old)
+    return chain
+
+
+def _records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The records with the number of their file, and file, path, split, block of each split."""
+    found, found_at = staged(_pieces(spark, path).mapInArrow(_candidates, CANDIDATES), "candidates")
     read = F.col("length") + F.when((F.col("block") == 0) & (F.col("idx") == 0), len(BETWEEN)).otherwise(len(END))  # the magic of later pieces is in their length
-    sizes = found.groupBy("file", "block").agg(F.sum(read).alias("size"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("file", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("base"))
-    placed = found.join(bases, ["file", "block"]).withColumns({"at": F.col("at") + F.col("base"), "next": F.col("next") + F.col("base")}).drop("base")
+    sizes = found.groupBy(F.col("file").alias("path"), "block").agg(F.sum(read).alias("size"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    order = Window.orderBy("path", "block")  # a row per split
+    splits, _ = staged(sizes.select("path", "block", "base", F.row_number().over(order).cast("long").alias("split"), F.dense_rank().over(Window.orderBy("path")).cast("long").alias("file")), "splits")
+    placed = found.withColumnRenamed("file", "path").join(small(splits), ["path", "block"]).withColumns({"at": F.col("at") + F.col("base"), "next": F.col("next") + F.col("base")}).drop("base", "path", "block")
     placed, _ = staged(placed, "placed")
-    chain, _ = staged(reached(placed), "chain")
-    records = placed.join(chain, ["file", "block", "at"], "left_semi")
-    ends = placed.groupBy("file").agg(F.max(F.col("at") + F.col("length")).alias("end"))
+    dropped(spark, found_at)
+    chain = reached(placed)
+    records = _kept(placed, chain, ["split", "at"])
+    ends = placed.groupBy("file").agg(F.max(F.col("at") + F.col("length")).alias("end"))  # a row per file
     broken = ends.join(records.groupBy("file").agg(F.max("next").alias("reached")), "file", "left").where("NOT reached <=> end").first()
     if broken is not None:
-        raise ValueError(f"the records of {broken.file} end at {broken.reached}, the file at {broken.end}")
+        name = splits.where(F.col("file") == broken.file).first().path
+        raise ValueError(f"the records of {name} end at {broken.reached}, the file at {broken.end}")
     torn = records.where("digest IS NULL").select("file", "at")
     if torn.limit(1).count():
-        whole = _torn_digests(spark, path, placed, chain, torn)
-        records = records.join(whole, ["file", "at"], "left").withColumn("digest", F.coalesce("digest", "whole")).drop("whole")
+        whole = _torn_digests(spark, path, splits, placed, chain, torn)
+        records = records.join(whole.hint("merge"), ["file", "at"], "left").withColumn("digest", F.coalesce("digest", "whole")).drop("whole")
     is_revisit = F.col("type") == "revisit"
     said = F.regexp_replace("said", "^sha256:", "")
     checked = F.when(~is_revisit & (said != F.col("digest")), F.raise_error(F.lit("a payload doesn't fit its digest")).cast("string")).when(is_revisit, said).otherwise(F.col("digest"))
-    return records.select("file", "at", "type", "record_id", "refers", "uri", F.when(is_revisit, F.col("said_bytes")).otherwise(F.col("body")).alias("payload_bytes"), checked.alias("digest"))
+    return records.select("file", "at", "type", "record_id", "refers", "uri", F.when(is_revisit, F.col("said_bytes")).otherwise(F.col("body")).alias("payload_bytes"), checked.alias("digest")), splits
 
 
-def _torn_digests(spark: SparkSession, path: str, placed: DataFrame, chain: DataFrame, torn: DataFrame) -> DataFrame:
-    """file, at, whole: digests of records whose payloads hold candidates."""
-    owner = F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
-    marked = placed.join(chain.withColumn("real", F.lit(True)), ["file", "block", "at"], "left").withColumn("real", F.coalesce("real", F.lit(False)))
-    owned = marked.select("file", "block", "idx", F.col("at").alias("piece_at"), owner.alias("at"))
-    needed = owned.join(torn, ["file", "at"], "left_semi")
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """A row per record: file, at, type, record_id, refers, uri, payload_bytes, digest (of the payload, bare hex)."""
+    records, splits = _records(spark, path)
+    names = splits.groupBy(F.col("file").alias("number")).agg(F.first("path").alias("file"))  # a row per file
+    return records.withColumnRenamed("file", "number").join(small(names), "number").select("file", *(c for c in records.columns if c != "file"))
+
+
+def _torn_digests(spark: SparkSession, path: str, splits: DataFrame, placed: DataFrame, chain: DataFrame, torn: DataFrame) -> DataFrame:
+    """file, at, whole: digests of records whose payloads hold candidates, put together piece by piece."""
+    owner = F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(Window.partitionBy("split").orderBy("at"))
+    marked = placed.join(chain.withColumn("real", F.lit(True)).hint("merge"), ["split", "at"], "left").withColumn("real", F.coalesce("real", F.lit(False)))
+    owned = marked.select("file", "split", "idx", F.col("at").alias("piece_at"), owner.alias("at"))
+    last = marked.where("real").groupBy("file", "split").agg(F.max("at").alias("last"))  # a row per split; pieces before a split's first record are of an earlier split's
+    held = splits.select("file", "split").join(last, ["file", "split"], "left")
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("split", F.last("last", ignorenulls=True).over(earlier).alias("open"))
+    owned = owned.join(small(held), "split").withColumn("at", F.coalesce("at", "open")).drop("open")
+    needed = _kept(owned, torn, ["file", "at"]).join(placed.select("file", "at", "body_at", "body").hint("merge"), ["file", "at"])
+    needed, _ = staged(needed.join(small(splits.select("split", "path", "block")), "split").select("path", "block", "idx", "file", "at", "piece_at", "body_at", "body"), "needed")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, block, idx, _, record in _numbered(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([idx], pa.int64()), pa.array([record], pa.binary())], names=["file", "block", "idx", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([idx], pa.int64()), pa.array([record], pa.binary())], names=["path", "block", "idx", "record"])
+
+    def digest(table: pa.Table) -> pa.Table:
+        first = table.slice(0, 1).to_pylist()[0]
+        parts = sorted(zip(table.column("piece_at").to_pylist(), table.column("record").to_pylist(), strict=True))
+        skip, left, made = first["body_at"], first["body"], hashlib.sha256()
+        for i, (_, part) in enumerate(parts):
+            for data in (END, part) if i else (part,):
+                piece = memoryview(data)[skip : skip + left]
+                skip = max(0, skip - len(data))
+                left -= len(piece)
+                made.update(piece)
+        return pa.table([pa.array([first["file"]], pa.int64()), pa.array([first["at"]], pa.int64()), pa.array([made.hexdigest()])], names=["file", "at", "whole"])
 
-    pieces = _pieces(spark, path).mapInArrow(numbered, "file string, block long, idx long, record binary").join(small(needed), ["file", "block", "idx"])
-    joined = pieces.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("piece_at", "record"))).alias("parts"))  # of one record
-    data = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.when(F.length(a) == 0, x["record"]).otherwise(F.concat(a, F.lit(END).cast("binary"), x["record"])))
-    whole = joined.select("file", "at", data.alias("data")).join(placed.select("file", "at", "body_at", "body"), ["file", "at"])
-    payload = F.expr("substring(data, cast(body_at + 1 AS int), cast(body AS int))")
-    return whole.select("file", "at", F.sha2(payload, 256).alias("whole"))
+    pieces = _pieces(spark, path).mapInArrow(numbered, "path string, block long, idx long, record binary").join(small(needed), ["path", "block", "idx"])
+    return pieces.groupBy("file", "at").applyInArrow(digest, "file long, at long, whole string")  # the pieces of one record
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of archives that write_archives wrote."""
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1), F.lit("")).cast("long")
-    return read_archives(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers").alias("refers_to"))
+    return _records(spark, path)[0].select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers").alias("refers_to"))
 
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
