@@ -1,22 +1,26 @@
 """Pack documents into fixed windows with a controlled mixture of sources.
 
 Each source is a queue of documents. A window (sequence) takes tokens from every queue by deficit round-robin: a queue's
-deficit grows by its share of the window, whole tokens are sent, and what is left over is carried into the next window,
-so that every window holds the target proportions to within a token and the whole corpus follows them. Documents are cut
-freely. Default proportions are those of the corpus, so that all queues end together; with other weights a queue that
-ends early leaves its share to the others.
+deficit grows by its share of the window, whole tokens are sent, the largest deficit first, and what is left over is
+carried into the next window, so that every window holds the target proportions to within a token of each queue and the
+whole corpus follows them. Documents are cut freely. A queue that ends leaves its share to the others.
 
-Windows are handled in chunks of `per_chunk`, by parallel tasks. Where a chunk starts in each queue has a closed form
-(token j of a queue of weight w has the virtual time (j + 1/2) / w; chunks cut the tokens in order of virtual time), so
-a task needs only the sources' totals, and the deficits it starts with are those that the windows before it left. Tokens
-move once, in a shuffle by chunk; chunks have equal sizes whatever the sources' sizes are.
+Deficits have a closed form, which is what lets parallel tasks carry them. Token j of a queue of weight w is served at the
+virtual time (j + 1/2) / w; at virtual time x a queue that still has tokens has earned w x tokens, and its deficit is
+w x - sent. Any cut of the whole sequence of tokens, be it between windows, chunks of windows or partitions, is the
+virtual time by which as many tokens are served, so a task finds all deficits at its first window from the queues' totals
+and weights alone: they are those that the windows before it, in other tasks, left. Tokens move once, in a shuffle by
+chunk of `per_chunk` windows; chunks have equal sizes whatever the sources' sizes are.
+
+The target weights are given, or a power of the sources' tokens: 1 is the corpus's own mixture, below 1 favours small
+sources as long as they last. Sources that hold less than LEAST_SHARE of all tokens share a queue, so the number of
+queues is bounded whatever a source is (a host, a url).
 
 The rest that doesn't fill a window is cut into sequences whose sizes are powers of two: nothing is padded.
 
 Defined cases: a null text is empty and still has its end id; null sources are the empty source; a null doc_id stays
 null; repeated rows are packed each; an empty table gives no rows; other columns are ignored. The order in a queue is
-the order in which Spark reads the table. The number of sources is the number of mixture components; their totals are
-held by the driver and each task.
+the order in which Spark reads the table.
 """
 
 from __future__ import annotations
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 from arrayloom.llm.common import binaries, small, staged
 from arrayloom.llm.token_table import tokenised
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
+#: Sources that hold less of all tokens share the queue REST.
+LEAST_SHARE, REST = 1 / 4096, "\u0000rest"
 _SLICES = "chunk long, source_no int, at long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -49,35 +55,47 @@ class Mixture:
         self.total = int(self.totals.sum())
         self._bounds: dict[int, np.ndarray] = {}
 
-    def sent(self, x: float) -> np.ndarray:
-        """Tokens of each queue whose virtual time is at most x."""
-        return np.clip(np.floor(x * self.weights + 0.5), 0, self.totals).astype(np.int64)
-
-    def split(self, target: int) -> np.ndarray:
-        """How many tokens of each queue are among the first `target` tokens."""
-        if target >= self.total:
-            return self.totals.copy()
-        low, high = 0.0, float((self.totals / self.weights).max()) + 1
-        while low < (middle := (low + high) / 2) < high:
-            if self.sent(middle).sum() <= target:
-                low = middle
-            else:
-                high = middle
+    def sent(self, x: float | np.ndarray) -> np.ndarray:
+        """Tokens of each queue that are served by the virtual time x."""
+        return np.clip(np.floor(np.asarray(x)[..., None] * self.weights + 0.5), 0, self.totals).astype(np.int64)
+
+    def split(self, targets: np.ndarray) -> np.ndarray:
+        """How many tokens of each queue are among the first targets[i] tokens: a row for each of the targets."""
+        targets = np.minimum(np.asarray(targets, np.int64), self.total)
+        low = np.zeros(len(targets))
+        high = np.full(len(targets), float((self.totals / self.weights).max()) + 1)
+        while True:
+            middle = (low + high) / 2
+            inside = (low < middle) & (middle < high)
+            if not inside.any():
+                break
+            early = self.sent(middle).sum(axis=1) <= targets
+            low, high = np.where(inside & early, middle, low), np.where(inside & ~early, middle, high)
         at = self.sent(low)
-        jump = self.sent(high) - at  # of equal virtual time: in the order of the sources
-        before = np.cumsum(jump) - jump
-        return at + np.clip(target - at.sum() - before, 0, jump)
+        jump = self.sent(high) - at  # served at one virtual time: in the order of the sources
+        before = np.cumsum(jump, axis=1) - jump
+        out = at + np.clip((targets - at.sum(axis=1))[:, None] - before, 0, jump)
+        return np.where((targets >= self.total)[:, None], self.totals, out)
+
+    def deficits(self, sent: np.ndarray) -> np.ndarray:
+        """What each queue has earned but not sent, when these numbers of tokens are sent; 0 of queues that ended."""
+        live = sent < self.totals
+        if not live.any():
+            return np.zeros(len(sent))
+        return np.where(live, self.weights * (sent[live].sum() / self.weights[live].sum()) - sent, 0.0)
 
     def bound(self, chunk: int) -> np.ndarray:
+        """Where a chunk starts in each queue."""
         if chunk not in self._bounds:
             if len(self._bounds) > 4096:
                 self._bounds.clear()
-            self._bounds[chunk] = self.split(chunk * self.per_chunk * self.window)
+            first = chunk // 64 * 64
+            self._bounds |= zip(range(first, first + 64), self.split(np.arange(first, first + 64) * (self.per_chunk * self.window)))
         return self._bounds[chunk]
 
     def chunks_of(self, source: int, start: int, end: int) -> Iterator[tuple[int, int, int]]:
         """(chunk, from, to) of the tokens start to end of a queue."""
-        rank = int(self.sent((start + 0.5) / self.weights[source]).sum())
+        rank = int(self.sent((start + 0.5) / self.weights[source]).sum())  # about the token's place among all
         chunk = max(0, rank // (self.window * self.per_chunk) - 1)
         while chunk and self.bound(chunk)[source] > start:
             chunk -= 1
@@ -94,34 +112,10 @@ class Mixture:
 
     def plan(self, chunk: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Where the chunk starts in each queue, the tokens that each window takes from each queue, and the windows' sizes."""
-        first, last = self.bound(chunk), self.bound(chunk + 1)
-        left = last - first
         begun = chunk * self.per_chunk * self.window
-        x = (first.sum() / self.weights.sum()) if begun else 0.0
-        deficit = np.clip(x * self.weights - first, -1.0, 1.0)
-        sizes = self.sizes(int(left.sum()))
-        sends = np.zeros((len(sizes), len(left)), np.int64)
-        for k, size in enumerate(sizes):
-            active = np.where(left > 0, self.weights, 0.0)
-            deficit += active * (size / active.sum())
-            send = np.minimum(np.floor(np.maximum(deficit, 0)).astype(np.int64), left)
-            while (space := size - int(send.sum())) > 0:  # the largest rest of a deficit is served first
-                rest = np.where(left > send, deficit - send, -np.inf)
-                order = np.argsort(-rest, kind="stable")[:space]
-                send[order[np.isfinite(rest[order])]] += 1
-            if space < 0:  # queues that ended left their share: the smallest claims wait
-                order = np.argsort(deficit - send, kind="stable")
-                for s in order:
-                    back = min(-space, int(send[s]))
-                    send[s] -= back
-                    space += back
-                    if not space:
-                        break
-            deficit -= send
-            left = left - send
-            deficit[left == 0] = 0.0
-            sends[k] = send
-        return first, sends, sizes
+        sizes = self.sizes(min(self.total - begun, self.per_chunk * self.window))
+        at = self.split(begun + np.append(0, np.cumsum(sizes)))
+        return at[0], np.diff(at, axis=0), sizes
 
 
 def _slice_tokens(mixture: Mixture, kind: str):
@@ -132,9 +126,9 @@ def _slice_tokens(mixture: Mixture, kind: str):
         for batch in batches:
             doc, ids = [], []
             cols: list[list[int]] = [[], [], [], [], [], []]
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n", "at", "ids")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "n", "at", "ids")), strict=True)
             for doc_id, source, n, at, data in rows:
-                s = number[source]
+                s = number[source]  # the queue's name
                 for chunk, a, b in mixture.chunks_of(s, at, at + n):
                     doc.append(doc_id)
                     for c, v in zip(cols, (chunk, s, a, a - at, b - a, n), strict=True):
@@ -180,25 +174,44 @@ def _fill_windows(mixture: Mixture, kind: str):
         rows = np.concatenate(rows)
         out = {k: np.concatenate(v) for k, v in cols.items()}
         names = pa.array(mixture.sources, pa.string()).take(pa.array(numbers[rows]))
-        return pa.table([table.column("doc_id").take(pa.array(rows)), out["start"], out["length"], out["crc"], pa.array(n[rows]), out["sequence_id"], out["offset"], names], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+        return pa.table([table.column("doc_id").take(pa.array(rows)), out["start"], out["length"], out["crc"], pa.array(n[rows]), out["sequence_id"], out["offset"], names], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 1024, weights: dict[str, float] | None = None, per_chunk: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 1024, weights: dict[str, float] | None = None, power: float = 1.0, per_chunk: int = 1024) -> DataFrame:
     """A row per piece (PIECES): the ids start to start + length of a document lie at offset in sequence sequence_id.
 
-    weights: target share of tokens by source; default, the corpus's own. docs: doc_id, text and maybe source.
+    weights: target share of tokens by source; default, the sources' own tokens to the given power. docs: doc_id, text
+    and maybe source.
     """
     spark = docs.sparkSession
     tokens, kind = tokenised(docs, tokenizer_path, end_id)
     tokens, _ = staged(tokens, "tokens")
     sums = tokens.groupBy("pid", "source").agg(F.sum("n").alias("n"))
-    totals = {r.source: r.n for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row per mixture component
-    if not totals:
+    of_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    total = of_source.agg(F.sum("n")).first()[0]
+    if not total:
         return spark.createDataFrame([], PIECES)
+    if weights is None:
+        held = of_source.where(F.col("n") >= F.lit(max(1, int(total * LEAST_SHARE))))  # 1 / LEAST_SHARE rows at most
+    else:
+        if of_source.where(~F.col("source").isin(list(weights))).limit(1).count():
+            raise ValueError("every source that has documents needs a weight above 0")
+        held = of_source.where(F.col("source").isin(list(weights)))  # as many rows as weights
+    totals = {r.source: r.n for r in held.collect()}
+    if (rest := total - sum(totals.values())) > 0:
+        totals[REST] = rest
+    if weights is None:
+        weights = {s: n**power for s, n in totals.items()}
     mixture = Mixture(totals, weights, window, per_chunk)
-    before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("pid", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    placed = tokens.join(small(offsets), ["pid", "source"]).select("doc_id", "source", "n", (F.col("base") + F.col("before")).alias("at"), "ids")
+    queue = F.when(F.col("source").isin([s for s in totals if s != REST]), F.col("source")).otherwise(REST)
+    before = Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("queue", "pid").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    named = sums.withColumn("queue", queue)
+    by_partition = named.groupBy("queue", "pid").agg(F.sum("n").alias("n"))  # a row per queue and partition
+    by_partition = by_partition.select("queue", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = named.select("queue", "pid", "source", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("within"))
+    offsets = within.join(small(by_partition), ["queue", "pid"]).select("pid", "source", "queue", (F.col("before") + F.col("within")).alias("offset"))
+    placed = tokens.join(small(offsets), ["pid", "source"]).select("doc_id", "queue", "n", (F.col("base") + F.col("offset")).alias("at"), "ids")
     return placed.mapInArrow(_slice_tokens(mixture, kind), _SLICES).groupBy("chunk").applyInArrow(_fill_windows(mixture, kind), PIECES)

@@ -19,7 +19,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), TOKENIZER)
+    return packing.pack(_documents(spark, sf_dir), TOKENIZER, power=0.7)  # small sources count for more than they hold
 
 
 def op2_coordinate_join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
