@@ -9,12 +9,14 @@ two-parameter logistic curve over that logit, fitted on the training documents.
 
 Since the softmax is linear in the mean, a trained model comes down to one number per bucket; scoring adds numbers up.
 
-Training uses at most `per_class` labelled documents of either class (those with the smallest hashes of their ids) and
-at most `windows` windows of each, evenly spread; both bounds are parameters. Scoring covers all words of all texts.
+Training uses all windows of at most `per_class` labelled documents of either class (those with the smallest hashes of
+their ids) and at most `most_bytes` of their texts; both bounds are parameters. It runs in one task on an executor, in
+memory that the bounds limit. Scoring covers all words of all texts.
 
 Defined cases: a null or empty text scores as a window without words; null or other labels than 0 and 1 and
 null ids aren't trained on; without labels of both classes every score is 0; repeated rows and ids get a score each;
-repeated labels of an id count once, and ids with both labels are left out; an empty table gives no rows.
+repeated labels of an id count once, and ids with both labels are left out; of texts with one id the least is trained on;
+an empty table gives no rows; other columns are ignored (the filter keeps them).
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import slices, text_buffer
+from arrayloom.llm.common import binaries, slices, text_buffer
 from arrayloom.llm.words import U, distinct, mix, spans
 
 BITS, WINDOW, SIZES = 17, 16, (3, 4, 5)
@@ -132,7 +134,7 @@ class Model:
 def _balanced(y: np.ndarray, used: np.ndarray) -> np.ndarray:
     """Weights of examples: half for either class."""
     n = [max(1, int((used & (y == k)).sum())) for k in (0, 1)]
-    return np.where(used, np.where(y == 1, 0.5 / n[1], 0.5 / n[0]), 0).astype(np.float32)
+    return np.where(used, np.where(y == 1, 0.5 / n[1], 0.5 / n[0]), 0)
 
 
 def _highest(logit: np.ndarray, text: np.ndarray, share: float) -> np.ndarray:
@@ -144,81 +146,75 @@ def _highest(logit: np.ndarray, text: np.ndarray, share: float) -> np.ndarray:
     return rank < np.maximum(1, np.ceil(n * share))[text]
 
 
-def train(texts: list[str], labels: np.ndarray, prevalence: float = 0.1, windows: int = 24, dim: int = 8, steps: int = 100, rate: float = 1.0, out_rate: float = 0.5, min_docs: int = 20, again: int = 25, shares: tuple[float, ...] = (0.3, 0.2, 0.1), decay: float = 5e-3, seed: int = 1) -> Model:
-    """Fit embeddings and softmax on windows by gradient descent with momentum over the whole sample, then the curve.
+def train(texts: list[str], labels: np.ndarray, prevalence: float = 0.1, dim: int = 8, steps: int = 100, rate: float = 1.0, out_rate: float = 0.5, min_docs: int | None = None, again: int = 25, shares: tuple[float, ...] = (0.3, 0.2, 0.1), decay: float = 5e-3, seed: int = 1) -> Model:
+    """Fit embeddings and softmax on all windows by gradient descent with momentum over the whole sample, then the curve.
 
     A bucket's step is scaled by one over the root of its occurrences, so that what exceeds chance counts; buckets in
-    fewer than min_docs documents aren't used. Every `again` steps a toxic document's examples become the next of
-    `shares` of its windows with the highest logits.
+    fewer than min_docs documents (by default a hundredth of the toxic ones, 2 to 20) aren't used. Every `again` steps a
+    toxic document's examples become the next of `shares` of its windows with the highest logits.
+
+    With two classes the softmax depends on the difference of its logits alone, and that is the window's mean of
+    emb @ (out[1] - out[0]): a step adds up one number per n-gram there and one back, whatever `dim` is.
     """
     labels = np.asarray(labels)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 0.0, False)
+    if min_docs is None:
+        min_docs = int(np.clip(labels.sum() // 100, 2, 20))
     column = pa.array(texts, pa.large_string())
     w = words_of(column)
     at, ends, text = windows_of(w.bounds)
-    n_of = np.bincount(text, minlength=len(texts))
-    inside = np.arange(len(text)) - (np.cumsum(n_of) - n_of)[text]
-    kept = inside * windows // np.maximum(n_of[text], 1) != (inside - 1) * windows // np.maximum(n_of[text], 1)
-    at, ends, text = at[kept], ends[kept], text[kept]
-    places = np.concatenate([np.arange(a, b) for a, b in zip(at, ends, strict=True)])
-    used, which = np.unique(w.which[places], return_inverse=True)
     lengths = ends - at
     window_of = np.repeat(np.arange(len(at)), lengths)
-    key = np.unique(window_of * np.int64(len(used)) + which)  # a word counts once in a window
-    window_of, which = key // len(used), key % len(used)
+    key = np.unique(window_of * np.int64(len(w.distinct)) + w.which[np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))])  # a word counts once in a window
+    window_of, which = (key // len(w.distinct)).astype(np.int32), (key % len(w.distinct)).astype(np.int32)
     begins = np.searchsorted(window_of, np.arange(len(at)))
-    buckets, starts = subwords([w.distinct[i] for i in used])
+    buckets, starts = subwords(w.distinct)
     known, bucket_no = np.unique(buckets, return_inverse=True)
-    n_grams = np.diff(np.append(starts, len(buckets))).astype(np.float32)
-    bucket_no, which, window_of = (x.astype(np.int32) for x in (bucket_no, which, window_of))
-    word_of = np.repeat(np.arange(len(used), dtype=np.int32), n_grams.astype(np.int64))
-    del buckets, places, key
-    y = labels[text].astype(np.float32)
+    n_grams = np.diff(np.append(starts, len(buckets)))
+    bucket_no = bucket_no.astype(np.int32)
+    word_of = np.repeat(np.arange(len(w.distinct), dtype=np.int32), n_grams)
+    del buckets, key
+    common = spread(which, text[window_of], word_of, bucket_no, len(w.distinct), len(known)) >= min_docs
+    seen = np.bincount(bucket_no, np.bincount(which, minlength=len(w.distinct))[word_of], len(known))
+    used = common[bucket_no]  # the others stay 0
+    word_of, bucket_no = word_of[used], bucket_no[used]
+    scale = np.where(common, 1 / np.sqrt(np.maximum(seen, 1)), 0)  # a gradient beyond chance counts
+    y = labels[text].astype(np.float64)
     weight = _balanced(y, np.ones(len(y), bool))
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (len(known), dim)).astype(np.float32)
-    out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    common = spread(which, text[window_of], word_of, bucket_no, len(used), len(known)) >= min_docs
-    seen = np.bincount(bucket_no, np.bincount(which, minlength=len(used))[word_of], len(known))
-    scale = np.where(common, 1 / np.sqrt(np.maximum(seen, 1)), 0)[:, None].astype(np.float32)  # a gradient beyond chance counts
-    mean = np.empty((len(at), dim), np.float32)
+    emb = rng.normal(0, 0.1, (len(known), dim)).astype(np.float32).astype(np.float64)
+    emb[~common] = 0
+    out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32).astype(np.float64)
+    bias = np.zeros(2)
     move_e, move_o, move_b = np.zeros_like(emb), np.zeros_like(out), np.zeros_like(bias)
     unit = 0.0
     for t in range(1, steps + 1):
         if t > 1 and t % again == 1:  # from now on a toxic document's highest windows are the examples
-            weight = _balanced(y, (y == 0) | _highest(z[:, 1] - z[:, 0], text, shares[min(len(shares), t // again) - 1]))
-        for d in range(dim):  # a dimension at a time: what is gathered is long
-            word = np.add.reduceat(emb[bucket_no, d], starts) / n_grams
-            mean[:, d] = np.add.reduceat(word[which], begins) / WINDOW
-        z = mean @ out + bias
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[:, 1] -= y
-        p[:, 0] -= 1 - y
-        p *= weight[:, None]
-        g_out, g_bias, g_mean = mean.T @ p, p.sum(axis=0), p @ out.T / WINDOW
-        g_emb = np.empty_like(emb)
-        for d in range(dim):
-            g_word = np.bincount(which, g_mean[window_of, d], len(used)) / n_grams
-            g_emb[:, d] = np.bincount(bucket_no, g_word[word_of], len(known))
-        g_emb *= scale
-        size = float(np.sqrt((g_emb**2).sum(axis=1)).max())
+            weight = _balanced(y, (y == 0) | _highest(z, text, shares[min(len(shares), t // again) - 1]))
+        turn = out[:, 1] - out[:, 0]
+        word = np.bincount(word_of, (emb @ turn)[bucket_no], len(w.distinct)) / n_grams
+        z = np.add.reduceat(word[which], begins) / WINDOW + bias[1] - bias[0]
+        miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight  # of class 1; that of class 0 is its negative
+        back = np.bincount(which, (miss / WINDOW)[window_of], len(w.distinct)) / n_grams
+        pull = np.bincount(bucket_no, back[word_of], len(known))
+        g_out, g_bias = emb.T @ np.stack([-pull, pull], axis=1), np.array([-miss.sum(), miss.sum()])
+        pull *= scale
+        size = float(np.abs(pull).max() * np.sqrt(turn @ turn))
         unit = unit or size
-        move_e = 0.9 * move_e - rate / max(unit, size) * g_emb  # no step is longer than the first one
+        move_e = 0.9 * move_e - rate / max(unit, size, 1e-300) * pull[:, None] * turn[None, :]  # no step is longer than the first one
         emb += move_e - decay * emb
         slow = out_rate * min(1.0, unit / max(size, 1e-12))
         move_o = 0.9 * move_o - slow * g_out / max(1.0, float(np.abs(g_out).max()))
         out += move_o
         move_b = 0.9 * move_b - slow * g_bias
         bias += move_b
-    emb[~common] = 0
     weights = np.zeros(1 << BITS, np.float32)
     weights[known] = emb @ (out[:, 1] - out[:, 0])
     model = Model(weights, float(bias[1] - bias[0]), 1.0, 0.0)
     clean = (y == 0)[window_of]
-    model.fill = float(_means(weights[known[bucket_no]], starts)[which[clean]].mean())
+    word = np.bincount(word_of, weights[known].astype(np.float64)[bucket_no], len(w.distinct)) / n_grams
+    model.fill = float(word[which[clean]].mean()) if clean.any() else 0.0
     top = np.concatenate([model.highest(column.slice(a, b - a)) for a, b in slices(column, 2 << 20)])
     return _curve(model, top, labels, prevalence)
 
@@ -245,22 +241,37 @@ def fold(doc_id: str = "doc_id", of: int = 4):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % of
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_class: int = 2000) -> tuple[list[str], np.ndarray, float]:
-    """Whole texts, labels and the share of toxic labels; of at most per_class documents of either class, none of the held-out fold."""
+def training_sample(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_class: int = 2000, most_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, text, label, prevalence (the share of toxic labels): whole texts, none of the held-out fold.
+
+    Of either class at most per_class documents, in order of the hashes of their ids, and of these the texts that fit
+    into most_bytes together. Of rows with one id the least text stands for it.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != held_out)).groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
-    known = known.where("low = high").select("doc_id", F.col("low").alias("label"), F.xxhash64("doc_id").alias("order"))
-    n = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    prevalence = n.get(1, 0) / max(1, sum(n.values()))
+    known = known.where("low = high").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("low").cast("long").alias("label"), F.xxhash64("doc_id").alias("order"))
     chosen = [known.where(F.col("label") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
-    chosen = F.broadcast(chosen[0].unionAll(chosen[1]).select("doc_id", "label"))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    rows = rows.take(pa.array(order))
-    return [x or "" for x in rows.column("text").to_pylist()], rows.column("label").to_numpy().astype(np.int64), prevalence
+    chosen = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most 2 * per_class rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").groupBy("doc_id", "label", "order").agg(F.min("text").alias("text"))
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("label").orderBy("order", "doc_id"))
+    prevalence = known.agg(F.avg("label")).first()[0]
+    return rows.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "text", "label", F.lit(prevalence).cast("double").alias("prevalence"))
+
 
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_class: int = 2000, most_bytes: int = 32 << 20, **more) -> Model:
+    """Train on training_sample, in one task of an executor; the driver gets the model alone."""
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_class: int = 2000, **more) -> Model:
-    return train(*training_sample(docs, labels, held_out, per_class), **more)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label", "prevalence")), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        m = train([r[1] or "" for r in rows], np.array([r[2] for r in rows], np.int64), rows[0][3] if rows else 0.0, **more)
+        values = [binaries([m.weights.tobytes()]), *(pa.array([x]) for x in (m.bias, m.slope, m.shift, m.trained, m.fill))]
+        yield pa.RecordBatch.from_arrays(values, names=["weights", "bias", "slope", "shift", "trained", "fill"])
+
+    sample = training_sample(docs, labels, held_out, per_class, most_bytes).repartition(1)
+    row = sample.mapInArrow(run, "weights binary, bias double, slope double, shift double, trained boolean, fill double").first()
+    if row is None:
+        return train([], np.zeros(0, np.int64))
+    return Model(np.frombuffer(row.weights, np.float32), row.bias, row.slope, row.shift, row.trained, row.fill)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
