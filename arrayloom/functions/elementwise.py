@@ -150,3 +150,20 @@ def fold(fn, columns: list[_C], default=None) -> Column:
     for x in columns[1:]:
         out = fn(out, _c(x))
     return out
+
+
+def source_place(at: Column, n: Column, mode: str) -> Column:
+    """Which of the places 0 to n - 1 stands at a place outside them: the nearest one (edge), a reflection without or with
+    the ends (reflect, symmetric), or the places over again (wrap)."""
+    if mode == "edge":
+        return F.least(F.greatest(at, F.lit(0)), n - 1)
+    if mode == "wrap":
+        return F.pmod(at, n)
+    if mode == "reflect":
+        turn = F.greatest(2 * (n - 1), F.lit(1))
+        there = F.pmod(at, turn)
+        return F.when(there < n, there).otherwise(turn - there)
+    if mode == "symmetric":
+        there = F.pmod(at, 2 * n)
+        return F.when(there < n, there).otherwise(2 * n - 1 - there)
+    raise ValueError(f"unknown mode {mode}")

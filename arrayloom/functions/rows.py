@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from arrayloom.functions.elementwise import NAN, _c
+from arrayloom.functions.elementwise import NAN, _c, source_place
 
 
 def indices(a) -> Column:
@@ -144,8 +144,14 @@ def minkowski(a, b, p: float = 2) -> Column:
 
 def softmax(a) -> Column:
     a = _c(a)
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - F.array_max(a).cast("double")))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    e = _bound(F.array_max(a).cast("double"), a, lambda top, all_: F.transform(all_, lambda x: F.exp(x.cast("double") - top)))
+    return _bound(F.lit(0.0), e, lambda zero, all_: _bound(F.aggregate(all_, zero, lambda s, y: s + y), all_, lambda below, same: F.transform(same, lambda x: x / below)))
+
+
+def _bound(value: Column, array: Column, fn) -> Column:
+    """fn(value, array) with both computed once for a row, not once for each element of the array."""
+    once = F.array(F.struct(value.alias("v"), array.alias("a")))
+    return F.get(F.transform(once, lambda s: fn(s["v"], s["a"])), F.lit(0))
 
 
 def clip(a, low: float, high: float) -> Column:
@@ -165,25 +171,24 @@ def boolmask(where, n: int | None = None) -> Column:
 
 
 def pad(a, before: int, after: int, mode: str = "constant", value=0) -> Column:
-    """Pad by a constant, the edge, a reflection (without the edge), or by wrapping round."""
+    """Pad by a constant, the edge, a reflection without (reflect) or with the edge (symmetric), by wrapping round, or by
+    the mean, maximum or minimum."""
     a = _c(a)
     if mode == "constant":
-        fill = lambda n: F.transform(F.array_repeat(F.lit(value), n), lambda x: x)
-        return F.concat(fill(before), a, fill(after)) if before or after else a
-    n = F.size(a)
+        return _surrounded(a, F.lit(before), F.lit(after), F.lit(value))
+    return _padded(a, F.lit(before), F.lit(after), mode)
 
-    def source(i: Column) -> Column:
-        if mode == "edge":
-            return F.least(F.greatest(i, F.lit(0)), n - 1)
-        if mode == "wrap":
-            return F.pmod(i, n)
-        if mode == "reflect":
-            turn = F.greatest(2 * (n - 1), F.lit(1))
-            j = F.pmod(i, turn)
-            return F.when(j < n, j).otherwise(turn - j)
-        raise ValueError(f"unknown mode {mode}")
 
-    return F.transform(F.sequence(F.lit(-before), n + after - 1), lambda i: F.get(a, source(i).cast("int")))
+def _surrounded(a: Column, before: Column, after: Column, fill: Column) -> Column:
+    return F.concat(F.array_repeat(fill, before), a, F.array_repeat(fill, after))
+
+
+def _padded(a: Column, before: Column, after: Column, mode: str) -> Column:
+    n = F.size(a)
+    if mode in ("mean", "maximum", "minimum"):
+        fill = {"mean": total(a) / n, "maximum": F.array_max(a), "minimum": F.array_min(a)}[mode]
+        return _surrounded(a, before, after, fill)
+    return F.transform(F.sequence(-before, n + after - 1), lambda i: F.get(a, source_place(i, n, mode).cast("int")))
 
 
 def padded_slice(a, start: int, stop: int, before: int = 0, after: int = 0, mode: str = "constant", value=0) -> Column:
@@ -200,9 +205,7 @@ def padded_slice(a, start: int, stop: int, before: int = 0, after: int = 0, mode
     if mode == "constant":
         fill = F.lit(value)
         return F.concat(F.array_repeat(fill, left), inner, F.array_repeat(fill, right))
-    if mode == "edge":
-        return F.concat(F.array_repeat(F.element_at(inner, 1), left), inner, F.array_repeat(F.element_at(inner, -1), right))
-    raise ValueError(f"unknown mode {mode}")
+    return _padded(inner, left, right, mode)
 
 
 def one_hot(label, classes: int) -> Column:

@@ -1,7 +1,8 @@
-"""Weighted set cover: greedily as a loop of aggregations, or exactly by branch and bound for small problems."""
+"""Weighted set cover: greedily as a loop of aggregations, or exactly by branch and bound, many problems in parallel."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +36,11 @@ def greedy_cover(sets: DataFrame, set_id: str, item: str, values: DataFrame | No
     return chosen
 
 
-def exact_cover(sets: dict, values: dict | None = None, weights: dict | None = None, max_weight: float | None = None, most_sets: int = 40) -> list:
-    """The best choice of sets, in one process, for at most `most_sets` sets.
+def exact_cover(sets: dict, values: dict | None = None, weights: dict | None = None, max_weight: float | None = None) -> list:
+    """The best choice of sets, in one process; branch and bound takes longer the more sets overlap.
 
     Without max_weight: as few sets as cover every item. With it: the most value within the weight, then fewer sets.
     """
-    if len(sets) > most_sets:
-        raise ValueError(f"{len(sets)} sets are too many for an exact cover")
     items = sorted({x for s in sets.values() for x in s}, key=str)
     number = {x: i for i, x in enumerate(items)}
     worth = [1.0 if values is None else float(values.get(x, 0)) for x in items]
@@ -95,17 +94,37 @@ def exact_cover(sets: dict, values: dict | None = None, weights: dict | None = N
     return sorted(best, key=str)
 
 
+def exact_covers(sets: DataFrame, problem: list[str], set_id: str, item: str, values: DataFrame | None = None, weights: dict | None = None, max_weight: float | None = None) -> DataFrame:
+    """problem, step, set: the best choice of sets of each problem, in order; each problem is solved in one task.
+
+    sets: a row for each item of each set. values: item, value.
+    """
+    rows = sets.select(*problem, F.col(set_id).alias("set_id"), F.col(item).alias("item")).distinct()
+    if values is not None:
+        rows = rows.join(values.select(F.col(values.columns[0]).alias("item"), F.col(values.columns[1]).cast("double").alias("value")), "item", "left").fillna(0.0, ["value"])
+    else:
+        rows = rows.withColumn("value", F.lit(1.0))
+    kinds = dict(rows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        members: dict = {}
+        for s, x in zip(pdf["set_id"].tolist(), pdf["item"].tolist(), strict=True):
+            members.setdefault(s, []).append(x)
+        found = exact_cover(members, dict(zip(pdf["item"].tolist(), pdf["value"].tolist(), strict=True)), weights, max_weight)
+        out = pd.DataFrame({"step": range(len(found)), "set_id": pd.Series(found, dtype=pdf["set_id"].dtype)})
+        for p in problem:
+            out[p] = pdf[p].iloc[0]
+        return out[[*problem, "step", "set_id"]]
+
+    schema = ", ".join([*(f"`{p}` {kinds[p]}" for p in problem), "step int", f"set_id {kinds['set_id']}"])
+    return rows.groupBy(*problem).applyInPandas(run, schema)
+
+
 def setcover(sets: DataFrame, set_id: str, item: str, algo: str = "approx", values: DataFrame | None = None, weights: dict | None = None, max_weight: float | None = None) -> list:
-    """approx or greedy: greedy_cover; exact or ilp: exact_cover of a problem that fits one process."""
+    """approx or greedy: greedy_cover; exact or ilp: exact_covers of one problem, which a task must hold."""
     if algo in ("approx", "greedy"):
         return greedy_cover(sets, set_id, item, values, weights, max_weight)
     if algo not in ("exact", "ilp"):
         raise KeyError(algo)
-    found: dict = {}
-    n = sets.select(set_id).distinct().count()
-    if n > 40:
-        raise ValueError(f"{n} sets are too many for an exact cover")
-    for r in sets.select(set_id, item).distinct().toLocalIterator():
-        found.setdefault(r[0], []).append(r[1])
-    worth = None if values is None else {r[0]: r[1] for r in values.toLocalIterator()}
-    return exact_cover(found, worth, weights, max_weight)
+    found = exact_covers(sets.withColumn("_problem", F.lit(0)), ["_problem"], set_id, item, values, weights, max_weight)
+    return [r.set_id for r in found.orderBy("step").collect()]  # as many rows as sets are chosen

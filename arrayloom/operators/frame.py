@@ -77,15 +77,25 @@ class Frame:
         return self.getcols(self.columns)
 
     def iloc(self, at: int | slice) -> DataFrame:
-        """Rows by position; of a slice without a start or stop, from the first or to the last."""
+        """Rows by position; of a slice without a start or stop, from the first or to the last. Negative ones count from the end."""
+        bounds = [at.start, at.stop] if isinstance(at, slice) else [at]
+        df, n = self.df, F.lit(0)
+        if any(x is not None and x < 0 for x in bounds):
+            df, n = self.df.join(F.broadcast(self._end())), F.col("_end")  # one row
+        place = lambda x: F.greatest(n + x, F.lit(0)) if x < 0 else F.lit(x)
         if isinstance(at, slice):
-            low = F.lit(True) if at.start is None else F.col(POS) >= at.start
-            high = F.lit(True) if at.stop is None else F.col(POS) < at.stop
-            return self.df.where(low & high & ((F.col(POS) - (at.start or 0)) % (at.step or 1) == 0))
-        return self.df.where(F.col(POS) == at)
+            if (at.step or 1) < 1:
+                raise ValueError("a step must be positive")
+            start = F.lit(0) if at.start is None else place(at.start)
+            high = F.lit(True) if at.stop is None else F.col(POS) < place(at.stop)
+            return df.where((F.col(POS) >= start) & high & ((F.col(POS) - start) % (at.step or 1) == 0)).select(*self.df.columns)
+        return df.where(F.col(POS) == (n + at if at < 0 else F.lit(at))).select(*self.df.columns)
 
     loc = iloc
 
+    def _end(self) -> DataFrame:
+        return self.df.agg(F.coalesce(F.max(POS) + 1, F.lit(0)).alias("_end"))
+
     def iterrows(self) -> Iterator[tuple[int, dict]]:
         return S.iterrows(self.df)
 
@@ -108,11 +118,16 @@ class Frame:
         return Frame(self.df.withColumn(key, value))
 
     def take(self, indices: list[int] | DataFrame) -> Frame:
-        """Rows at the positions in the order given, repeats allowed. Indices: a list, or a frame of (at, pos)."""
-        if not isinstance(indices, DataFrame):
+        """Rows at the positions in the order given, repeats allowed; negative ones count from the end. Indices: a list, or a frame of (at, pos)."""
+        literal = not isinstance(indices, DataFrame)
+        if literal:
+            negative = any(i < 0 for i in indices)
             indices = self.df.sparkSession.createDataFrame([(i, k) for k, i in enumerate(indices)], "at bigint, pos bigint")
-            indices = F.broadcast(indices)  # a literal list
-        return Frame(self.df.withColumnRenamed(POS, "at").join(indices, "at").drop("at"))
+        else:
+            negative = True
+        if negative:
+            indices = indices.join(F.broadcast(self._end())).select(F.when(F.col("at") < 0, F.col("at") + F.col("_end")).otherwise(F.col("at")).alias("at"), POS)  # one row
+        return Frame(self.df.withColumnRenamed(POS, "at").join(F.broadcast(indices) if literal else indices, "at").drop("at"))
 
     def compress(self, flags: Column | list[bool]) -> Frame:
         """Rows whose flag is true: a predicate, or a literal mask by position."""
@@ -140,8 +155,7 @@ class Frame:
         missing = set(self.columns) - set(other.columns)
         if missing:
             raise KeyError(sorted(missing))
-        end = self.df.agg(F.coalesce(F.max(POS) + 1, F.lit(0)).alias("_end"))
-        moved = other.df.join(F.broadcast(end)).withColumn(POS, F.col(POS) + F.col("_end"))  # one row
+        moved = other.df.join(F.broadcast(self._end())).withColumn(POS, F.col(POS) + F.col("_end"))  # one row
         return Frame(self.df.unionByName(moved.select(POS, *self.columns)))
 
     def union(self, *others: Frame) -> Frame:

@@ -85,14 +85,19 @@ def normalized(x: Column, mode: str, low: Column, high: Column, alpha: Column |
     return F.lit(float(top)) / (1 + F.exp(-divide(x - beta, alpha)))
 
 
-def normalize(df: DataFrame, value: str, mode: str = "linear", out: str = "normalized", by: list[str] | None = None, top: float = 1.0, whole: str | None = None) -> DataFrame:
-    """df with a column of values scaled by their own extremes (NaN left out). whole: an integer type to cut to."""
+def normalize(df: DataFrame, value: str, mode: str = "linear", out: str = "normalized", by: list[str] | None = None, top: float = 1.0, whole: str | None = None, alpha: float | None = None, beta: float | None = None, min_val: float | None = None, max_val: float | None = None) -> DataFrame:
+    """df with a column of values scaled by their own extremes (NaN left out), or by those given. whole: an integer type to cut to.
+
+    alpha and beta: scale and centre of the sigmoid, by default as `normalized` has them.
+    """
     by = by or []
     x = F.col(value).cast("double")
     seen = F.when(~F.isnan(x), x)
     ends = df.groupBy(*by).agg(F.min(seen).alias("_low"), F.max(seen).alias("_high"))
     joined = df.join(ends, by) if by else df.join(F.broadcast(ends))  # without groups, one row
-    scaled = normalized(x, mode, F.col("_low"), F.col("_high"), top=top)
+    given = lambda c: None if c is None else F.lit(float(c))
+    low, high = (F.col(c) if g is None else F.lit(float(g)) for c, g in (("_low", min_val), ("_high", max_val)))
+    scaled = normalized(x, mode, low, high, given(alpha), given(beta), top=top)
     return joined.withColumn(out, scaled.cast(whole) if whole else scaled).drop("_low", "_high")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.functions.elementwise import source_place
+
 
 def coerce_pad(pad, dims: int) -> list[tuple[int, int]]:
     """None, a number, or a list of numbers or pairs, as a pair for each axis."""
@@ -40,11 +42,18 @@ def embed_columns(low: Column, high: Column, n: Column) -> tuple[Column, Column,
     return start, stop, F.greatest(zero, F.least(high, zero) - low), F.greatest(zero, high - F.greatest(low, n))
 
 
+#: Modes that fill with one number made of the slice.
+SUMMARIES = {"mean": F.avg, "maximum": F.max, "minimum": F.min, "median": F.median}
+
+
 def padded_slice(df: DataFrame, pos: str, value: str, start: int, stop: int, pad: tuple[int, int] = (0, 0), by: list[str] | None = None, fill=0, mode: str = "constant", size: str | None = None) -> DataFrame:
     """Rows start - pad to stop + pad of each `by` group, numbered from 0 in `pos`; what lies outside is filled.
 
-    mode edge: with the first or last value of the group, which needs `size`, a column with the group's length.
+    mode: constant (with `fill`), one of source_place, or one of SUMMARIES, of the part of the slice that lies in the
+    group; all but constant need `size`, a column with the group's length. Where no part does, `fill` stands.
     """
+    if mode != "constant" and size is None:
+        raise ValueError(f"mode {mode} needs the groups' sizes")
     low, high = start - pad[0], stop + pad[1]
     if low > high:
         raise ValueError("the slice ends before it starts")
@@ -56,9 +65,21 @@ def padded_slice(df: DataFrame, pos: str, value: str, start: int, stop: int, pad
         grid = groups.withColumn("_at", F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high - 1).cast("bigint"))))
     else:
         grid = df.sparkSession.range(low, high).withColumnRenamed("id", "_at")
-    source = F.col("_at") if mode == "constant" else F.greatest(F.lit(0), F.least(F.col("_at"), F.col(size) - 1))
-    grid = grid.withColumn(pos, source)
-    out = grid.join(df.select(*by, pos, value), [*by, pos], "left")
+    cells = df.select(*by, pos, value)
+    if mode == "constant":
+        source = F.col("_at")
+    elif mode in SUMMARIES:
+        source, inner = F.col("_at"), cells.where((F.col(pos) >= low) & (F.col(pos) < high))
+        made = inner.groupBy(*by).agg(SUMMARIES[mode](value).alias("_fill"))
+        grid = grid.join(made, by, "left") if by else grid.join(F.broadcast(made))  # without groups, one row
+    else:
+        n = F.col(size)
+        first, last = F.least(F.greatest(F.lit(low), F.lit(0)), n), F.least(F.greatest(F.lit(high), F.lit(0)), n)
+        source = F.when(last > first, first + source_place(F.col("_at") - first, last - first, mode))
+    grid = grid.withColumn(pos, source.cast("bigint"))
+    out = grid.join(cells, [*by, pos], "left")
+    if mode in SUMMARIES:
+        out = out.withColumn(value, F.coalesce(F.col(value).cast("double"), "_fill"))
     return out.select(*by, (F.col("_at") - low).alias(pos), F.coalesce(F.col(value), F.lit(fill)).alias(value))
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from arrayloom.functions.elementwise import NAN, divide
 
 
-def stats(df: DataFrame, value: str, by: list[str] | None = None, *, nan: bool = False, sum: bool = False, extreme: bool = True, n_extreme: bool = False, median: bool = False, size: bool = False, quantile: str | bool | list[float] | None = "auto") -> DataFrame:  # noqa: A002
+def stats(df: DataFrame, value: str, by: list[str] | None = None, *, nan: bool = False, sum: bool = False, extreme: bool = True, n_extreme: bool = False, median: bool = False, size: bool = False, shape: bool = False, quantile: str | bool | list[float] | None = "auto") -> DataFrame:  # noqa: A002
     """Mean, population std, extremes and quantiles (linear) of each `by` group.
 
     nan: NaN is left out of mean, std, sum and extremes, and counted as num_nan. med always leaves NaN out; other
-    quantiles never do. n_extreme: how often the extremes occur. Everything comes from one aggregation; the counts of
+    quantiles never do. n_extreme: how often the extremes occur. shape: the number of values as an array, as one axis has it. Everything comes from one aggregation; the counts of
     extremes from a count by value above it.
     """
     by = by or []
@@ -33,6 +33,8 @@ def stats(df: DataFrame, value: str, by: list[str] | None = None, *, nan: bool =
         cols.append(F.sum(used).alias("sum"))
     if size:
         cols.append(F.count("*").alias("size"))
+    if shape:
+        cols.append(F.array(F.count("*")).alias("shape"))
     out = df.groupBy(*by).agg(*cols)
     for i, q in enumerate(quantiles):
         out = out.withColumn(f"q_{q:.2f}".replace(".", "_"), F.col("_q")[i])
@@ -76,8 +78,9 @@ def sumsq_std(total: Column, squares: Column, n: Column) -> Column:
 
 
 def summary(states: DataFrame) -> DataFrame:
-    """mean and std beside the accumulators; groups without data (n = 0) have NaN."""
-    mean = divide(F.col("total"), F.col("n"))
+    """mean and std beside the accumulators; groups whose weights are 0 have NaN. Accumulators that never saw a row raise an error."""
+    unseen = F.raise_error(F.lit("no data have been added to the accumulators")).cast("double")
+    mean = F.when(F.col("n").isNull(), unseen).otherwise(divide(F.col("total"), F.col("n")))
     return states.withColumn("mean", mean).withColumn("std", sumsq_std(F.col("total"), F.col("squares"), F.col("n")))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arrayloom.functions.elementwise import NAN, isclose as _isclose
+from arrayloom.functions.elementwise import source_place
+from arrayloom.sources.frames import with_positions
 
 
 class Tensor:
@@ -154,12 +156,28 @@ class Tensor:
             df = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn(d, F.col(d) + F.col("k") * n) if m else df.limit(0)
         return Tensor(df, tuple(n * m for n, m in zip(out.shape, reps, strict=True)))
 
-    def pad(self, widths: list[tuple[int, int]], value=0) -> Tensor:
-        """A constant round the tensor."""
+    def pad(self, widths: list[tuple[int, int]], value=0, mode: str = "constant") -> Tensor:
+        """A constant round the tensor, or what stands at the nearest (edge), reflected (reflect, symmetric) or wrapped place."""
         shape = tuple(n + a + b for n, (a, b) in zip(self.shape, widths, strict=True))
-        moved = self.df.select(*[(F.col(d) + a).alias(d) for d, (a, _) in zip(self.dims, widths, strict=True)], F.col("v").alias("inner"))
         grid = Tensor.full(self.df.sparkSession, shape, 0).df.drop("v")
-        return Tensor(grid.join(moved, self.dims, "left").withColumn("v", F.coalesce("inner", F.lit(value))), shape)
+        for i, (n, (a, _)) in enumerate(zip(self.shape, widths, strict=True)):
+            place = F.col(f"d{i}") - a
+            grid = grid.withColumn(f"s{i}", place if mode == "constant" else source_place(place, F.lit(n), mode).cast("bigint"))
+        cells = self.df.select(*[F.col(d).alias(f"s{i}") for i, d in enumerate(self.dims)], F.col("v").alias("inner"))
+        joined = grid.join(cells, [f"s{i}" for i in range(self.ndim)], "left")
+        return Tensor(joined.withColumn("v", F.coalesce("inner", F.lit(value)) if mode == "constant" else F.col("inner")), shape)
+
+    def one_hot(self, classes: int, axis: int = -1) -> Tensor:
+        """1.0 where the new axis has the cell's label, else 0.0; a negative label counts from the end."""
+        axis = axis % (self.ndim + 1)
+        label = F.col("v").cast("bigint")
+        label = F.when((label < -classes) | (label >= classes), F.raise_error(F.lit("label outside the classes")).cast("bigint")).otherwise(F.pmod(label, F.lit(classes)))
+        cells = self.df.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(classes - 1).cast("bigint"))))
+        dims = [F.col(f"d{i}") for i in range(self.ndim)]
+        dims.insert(axis, F.col("k"))
+        shape = list(self.shape)
+        shape.insert(axis, classes)
+        return Tensor(cells.select(*[c.alias(f"d{i}") for i, c in enumerate(dims)], F.when(F.col("k") == label, 1.0).otherwise(0.0).alias("v")), tuple(shape))
 
     def full_like(self, value) -> Tensor:
         return self.map(lambda v: F.lit(value))
@@ -237,6 +255,10 @@ class Tensor:
         """Places in stable ascending order along an axis; descending is that order reversed."""
         d = f"d{self._axis(axis)}"
         kept = [x for x in self.dims if x != d]
+        if not kept:  # one sequence: sorted in range partitions
+            sorted_ = with_positions(self.df, ["v", d])
+            place = F.lit(self.numel() - 1) - F.col("pos") if descending else F.col("pos")
+            return Tensor(sorted_.select(place.alias("rank"), F.col(d).alias("v")).withColumnRenamed("rank", d), self.shape)
         order = [F.col("v").desc(), F.col(d).desc()] if descending else [F.col("v"), F.col(d)]
         rank = F.row_number().over(Window.partitionBy(*kept).orderBy(*order)) - 1
         return Tensor(self.df.select(*kept, rank.alias("rank"), F.col(d).alias("v")).withColumnRenamed("rank", d), self.shape)
@@ -267,17 +289,35 @@ class Tensor:
     def array_equal(self, other: Tensor, equal_nan: bool = False) -> bool:
         if self.shape != other.shape:
             return False
-        same = self.with_other(other, lambda a, b: a.eqNullSafe(b) & (F.lit(equal_nan) | ~F.isnan(a.cast("double"))))
-        return bool(same.df.agg(F.coalesce(F.bool_and("v"), F.lit(True))).first()[0])
+        cell = lambda df, v: df.select(*self.dims, F.struct(F.col("v").alias("v")).alias(v))
+        both = cell(self.df, "x").join(cell(other.df, "y"), self.dims, "full")  # a cell that one of them lacks makes them differ
+        a, b = F.col("x")["v"], F.col("y")["v"]
+        same = F.col("x").isNotNull() & F.col("y").isNotNull() & a.eqNullSafe(b) & (F.lit(equal_nan) | ~F.coalesce(F.isnan(a.cast("double")), F.lit(False)))
+        return bool(both.agg(F.coalesce(F.bool_and(same), F.lit(True))).first()[0])
 
     def matmul(self, other: Tensor) -> Tensor:
-        """(n, k) by (k, m), as a join on k and a sum."""
-        if self.ndim != 2 or other.ndim != 2 or self.shape[1] != other.shape[0]:
+        """(..., n, k) by (..., k, m), as a join on k and the axes before, and a sum. A vector is a row on the left, a column
+        on the right; axes before the last two are equal, or one side has none."""
+        if self.ndim == 1:
+            out = self.atleast_nd(2, front=True).matmul(other)
+            return out._without(out.ndim - (2 if other.ndim > 1 else 1))
+        if other.ndim == 1:
+            out = self.matmul(other.atleast_nd(2))
+            return out._without(out.ndim - 1)
+        more, others = self.shape[:-2], other.shape[:-2]
+        if self.shape[-1] != other.shape[-2] or (more and others and more != others):
             raise ValueError(f"shapes {self.shape} and {other.shape} don't match")
-        left = self.df.select(F.col("d0").alias("i"), F.col("d1").alias("k"), F.col("v").alias("x"))
-        right = other.df.select(F.col("d0").alias("k"), F.col("d1").alias("j"), F.col("v").alias("y"))
-        df = left.join(right, "k").groupBy(F.col("i").alias("d0"), F.col("j").alias("d1")).agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-        return Tensor(df, (self.shape[0], other.shape[1]))
+        batch = more or others
+        cells = lambda t, a, b, v: t.df.select(*[F.col(f"d{i}").alias(f"b{i}") for i in range(t.ndim - 2)], F.col(f"d{t.ndim - 2}").alias(a), F.col(f"d{t.ndim - 1}").alias(b), F.col("v").alias(v))
+        shared = [f"b{i}" for i in range(len(batch))] if more and others else []
+        joined = cells(self, "i", "k", "x").join(cells(other, "k", "j", "y"), [*shared, "k"])
+        keys = [F.col(c).alias(f"d{n}") for n, c in enumerate([*[f"b{i}" for i in range(len(batch))], "i", "j"])]
+        return Tensor(joined.groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("v")), (*batch, self.shape[-2], other.shape[-1]))
+
+    def _without(self, axis: int) -> Tensor:
+        """Without an axis of length 1."""
+        left = [i for i in range(self.ndim) if i != axis]
+        return Tensor(self.df.select(*[F.col(f"d{i}").alias(f"d{n}") for n, i in enumerate(left)], "v"), tuple(self.shape[i] for i in left))
 
     def kron(self, other: Tensor) -> Tensor:
         """Every cell times every cell of the other, which is the result's own size."""
@@ -313,23 +353,26 @@ def vstack(tensors: list[Tensor]) -> Tensor:
     return cat([t.atleast_nd(2, front=True) for t in tensors], 0)
 
 
-_KINDS = {"float16": ("float", "f", 16), "float32": ("float", "f", 32), "float64": ("double", "f", 64), "float": ("double", "f", 64), "int8": ("tinyint", "i", 8), "int16": ("smallint", "i", 16), "int32": ("int", "i", 32), "int64": ("bigint", "i", 64), "int": ("bigint", "i", 64), "uint8": ("smallint", "u", 8), "uint16": ("int", "u", 16), "uint32": ("bigint", "u", 32), "bool": ("boolean", "b", 8)}
+_KINDS = {"float16": ("float", "f", 16), "float32": ("float", "f", 32), "float64": ("double", "f", 64), "float": ("double", "f", 64), "int8": ("tinyint", "i", 8), "int16": ("smallint", "i", 16), "int32": ("int", "i", 32), "int64": ("bigint", "i", 64), "int": ("bigint", "i", 64), "uint8": ("smallint", "u", 8), "uint16": ("int", "u", 16), "uint32": ("bigint", "u", 32), "uint64": ("decimal(20,0)", "u", 64), "bool": ("boolean", "b", 8)}
 
 
 def spark_type(name: str) -> str:
-    """The Spark type that holds a numeric type: itself or the next wider one."""
+    """The Spark type that holds a numeric type: itself or the next wider one; of a complex one a struct of its parts."""
+    if name.startswith("complex"):
+        part = "float" if name == "complex64" else "double"
+        return f"struct<re:{part},im:{part}>"
     return _KINDS[name][0]
 
 
 def dtype_kind(kind: str) -> str:
-    """f, i or b for a Spark type, O for others."""
-    return {"float": "f", "double": "f", "tinyint": "i", "smallint": "i", "int": "i", "bigint": "i", "boolean": "b"}.get(kind, "O")
+    """f, i, u, c or b for a Spark type, O for others."""
+    return {"float": "f", "double": "f", "tinyint": "i", "smallint": "i", "int": "i", "bigint": "i", "decimal(20,0)": "u", "struct<re:float,im:float>": "c", "struct<re:double,im:double>": "c", "boolean": "b"}.get(kind, "O")
 
 
 def dtype_info(name: str) -> dict:
     """Bits, least and greatest value; of floats also the step at 1. Complex types have those of their parts."""
     if name.startswith("complex"):
-        return dtype_info(f"float{int(name[7:]) // 2}") | {"dtype": name}
+        return dtype_info(f"float{int(name[7:]) // 2}") | {"dtype": name, "kind": "c", "bits": int(name[7:])}
     _, kind, bits = _KINDS[name]
     if kind == "f":
         info = np.finfo(f"float{bits}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arrayloom.operators.tensor import Tensor
+
 
 def _top(df: DataFrame, value: str, pos: list[str], k: int, by: list[str], down: bool) -> DataFrame:
     if k < 0:
@@ -38,8 +40,13 @@ def unique_rows(df: DataFrame, columns: list[str], pos: str | None = None) -> Da
     return df.select(*columns).distinct() if pos is None else df.groupBy(*columns).agg(F.min(pos).alias(pos))
 
 
-def boolmask(indices: DataFrame, index: str, n: int) -> DataFrame:
-    """pos, flag for 0 to n - 1: whether pos is among the indices."""
+def boolmask(indices: DataFrame, index: str | list[str], n: int | tuple[int, ...]) -> DataFrame:
+    """pos, flag for 0 to n - 1: whether pos is among the indices; for a list of columns and a shape, d0, d1, ..., flag."""
+    if not isinstance(index, str):
+        dims = [f"d{i}" for i in range(len(index))]
+        marked = indices.select(*[F.col(c).cast("bigint").alias(d) for c, d in zip(index, dims, strict=True)]).distinct().withColumn("flag", F.lit(True))
+        grid = Tensor.full(indices.sparkSession, tuple(n), 0).df.select(*dims)
+        return grid.join(marked, dims, "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
     marked = indices.select(F.col(index).cast("bigint").alias("pos")).distinct().withColumn("flag", F.lit(True))
     return indices.sparkSession.range(n).withColumnRenamed("id", "pos").join(marked, "pos", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
 

@@ -12,7 +12,7 @@ from arrayloom.plans.registry import query, table
 from arrayloom.plans.stats_queries import rounded
 
 _E = "e AS (SELECT vec_id AS d0, unnest(range(len(embedding))) AS d1, unnest(embedding)::DOUBLE AS v FROM embeddings)"
-_S = "s AS (SELECT * FROM e WHERE d0 < 6 AND d1 < 5)"
+_N = "n AS (SELECT max(vec_id) + 1 AS n FROM embeddings)"
 
 
 def _vectors(spark, sf_dir):
@@ -24,12 +24,6 @@ def _matrix(spark, sf_dir):
     return Tensor.from_rows(df, "vec_id", "v", (df.agg(F.max("vec_id")).first()[0] + 1, 64))
 
 
-def _small(spark, sf_dir):
-    """The first 6 x 5 cells."""
-    m = _matrix(spark, sf_dir)
-    return Tensor(m.df.where("d0 < 6 AND d1 < 5"), (6, 5))
-
-
 def _out(t, digits=6):
     return t.df.withColumn("v", F.round("v", digits))
 
@@ -78,72 +72,72 @@ def arr_min_argmin(spark, sf_dir):
     return low.df.join(at.df.withColumnRenamed("v", "place"), "d0")
 
 
-@query("arr_argsort", f"WITH {_E}, {_S} SELECT d0, row_number() OVER (PARTITION BY d0 ORDER BY v, d1) - 1 AS d1, d1 AS v FROM s")
+@query("arr_argsort", f"WITH {_E} SELECT d0, row_number() OVER (PARTITION BY d0 ORDER BY e.v, e.d1) - 1 AS d1, d1 AS v FROM e")
 def arr_argsort(spark, sf_dir):
-    return _small(spark, sf_dir).argsort(1).df
+    return _matrix(spark, sf_dir).argsort(1).df
 
 
-@query("arr_argsort_descending", f"WITH {_E}, {_S} SELECT row_number() OVER (PARTITION BY d1 ORDER BY v DESC, d0 DESC) - 1 AS d0, d1, d0 AS v FROM s")
+@query("arr_argsort_descending", f"WITH {_E} SELECT row_number() OVER (PARTITION BY e.d1 ORDER BY e.v DESC, e.d0 DESC) - 1 AS d0, d1, d0 AS v FROM e")
 def arr_argsort_descending(spark, sf_dir):
-    return _small(spark, sf_dir).argsort(0, descending=True).df
+    return _matrix(spark, sf_dir).argsort(0, descending=True).df
 
 
-@query("arr_transpose", f"WITH {_E}, {_S} SELECT d1 AS d0, d0 AS d1, v FROM s")
+@query("arr_transpose", f"WITH {_E} SELECT d1 AS d0, d0 AS d1, v FROM e")
 def arr_transpose(spark, sf_dir):
-    return _small(spark, sf_dir).T.df
+    return _matrix(spark, sf_dir).T.df
 
 
-@query("arr_view", f"WITH {_E}, {_S} SELECT (d0 * 5 + d1) // 10 AS d0, (d0 * 5 + d1) // 2 % 5 AS d1, (d0 * 5 + d1) % 2 AS d2, v FROM s")
+@query("arr_view", f"WITH {_E} SELECT (e.d0 * 64 + e.d1) // 32 AS d0, (e.d0 * 64 + e.d1) // 4 % 8 AS d1, (e.d0 * 64 + e.d1) % 4 AS d2, v FROM e")
 def arr_view(spark, sf_dir):
-    return _small(spark, sf_dir).view(3, 5, 2).df
+    return _matrix(spark, sf_dir).view(-1, 8, 4).df
 
 
-@query("arr_take", f"WITH {_E}, {_S}, i AS (SELECT * FROM (VALUES (0, 4), (1, 0), (2, 4)) t(k, i)) SELECT d0, k::BIGINT AS d1, v FROM s JOIN i ON d1 = i")
+@query("arr_take", f"WITH {_E}, i AS (SELECT * FROM (VALUES (0, 4), (1, 0), (2, 63)) t(k, i)) SELECT d0, k::BIGINT AS d1, v FROM e JOIN i ON e.d1 = i")
 def arr_take(spark, sf_dir):
-    return _small(spark, sf_dir).take([4, 0, -1], 1).df
+    return _matrix(spark, sf_dir).take([4, 0, -1], 1).df
 
 
-@query("arr_compress", f"WITH {_E}, {_S} SELECT d0 // 2 AS d0, d1, v FROM s WHERE d0 % 2 = 0")
+@query("arr_compress", f"WITH {_E} SELECT d0, e.d1 // 2 AS d1, v FROM e WHERE e.d1 % 2 = 0")
 def arr_compress(spark, sf_dir):
-    return _small(spark, sf_dir).compress([True, False] * 3, 0).df
+    return _matrix(spark, sf_dir).compress([True, False] * 32, 1).df
 
 
-@query("arr_repeat", f"WITH {_E}, {_S} SELECT d0, d1 * 3 + r.range AS d1, v FROM s, range(0, 3) r")
+@query("arr_repeat", f"WITH {_E} SELECT d0, e.d1 * 3 + r.range AS d1, v FROM e, range(0, 3) r")
 def arr_repeat(spark, sf_dir):
-    return _small(spark, sf_dir).repeat(3, 1).df
+    return _matrix(spark, sf_dir).repeat(3, 1).df
 
 
-@query("arr_tile", f"WITH {_E}, {_S} SELECT d0 + 6 * a.range AS d0, d1 + 5 * b.range AS d1, v FROM s, range(0, 2) a, range(0, 3) b")
+@query("arr_tile", f"WITH {_E}, {_N} SELECT e.d0 + n * a.range AS d0, e.d1 + 64 * b.range AS d1, v FROM e, n, range(0, 2) a, range(0, 3) b")
 def arr_tile(spark, sf_dir):
-    return _small(spark, sf_dir).tile((2, 3)).df
+    return _matrix(spark, sf_dir).tile((2, 3)).df
 
 
-@query("arr_cat", f"WITH {_E}, {_S} SELECT d0, d1, v FROM s UNION ALL SELECT d0, d1 + 5, v * 2 FROM s")
+@query("arr_cat", f"WITH {_E} SELECT d0, d1, v FROM e UNION ALL SELECT d0, d1 + 64, v * 2 FROM e")
 def arr_cat(spark, sf_dir):
-    m = _small(spark, sf_dir)
+    m = _matrix(spark, sf_dir)
     return T.cat([m, m.map(lambda v: v * 2)]).df
 
 
-@query("arr_hstack", f"WITH {_E}, {_S} SELECT d0, d1, v FROM s UNION ALL SELECT d0, d1 + 5, v FROM s")
+@query("arr_hstack", f"WITH {_E} SELECT d0, d1, v FROM e UNION ALL SELECT d0, d1 + 64, v FROM e")
 def arr_hstack(spark, sf_dir):
-    m = _small(spark, sf_dir)
+    m = _matrix(spark, sf_dir)
     return T.hstack([m, m]).df
 
 
-@query("arr_vstack", f"WITH {_E}, {_S} SELECT d0, d1, v FROM s UNION ALL SELECT 6, d1, sum(v) FROM s WHERE d0 = 0 GROUP BY d1")
+@query("arr_vstack", f"WITH {_E}, {_N} SELECT d0, d1, v FROM e UNION ALL SELECT n, d1, v FROM e, n WHERE d0 = 0")
 def arr_vstack(spark, sf_dir):
-    m = _small(spark, sf_dir)
-    return T.vstack([m, Tensor(m.df.where("d0 = 0").select(F.col("d1").alias("d0"), "v"), (5,))]).df
+    m = _matrix(spark, sf_dir)
+    return T.vstack([m, Tensor(m.df.where("d0 = 0").select(F.col("d1").alias("d0"), "v"), (64,))]).df
 
 
-@query("arr_pad", f"WITH {_E}, {_S} SELECT a.range AS d0, b.range AS d1, coalesce(v, 9.0) AS v FROM range(0, 8) a CROSS JOIN range(0, 8) b LEFT JOIN s ON s.d0 = a.range - 1 AND s.d1 = b.range - 3")
+@query("arr_pad", f"WITH {_E}, {_N}, a AS (SELECT unnest(range(n + 2)) AS range FROM n) SELECT a.range AS d0, b.range AS d1, coalesce(v, 9.0) AS v FROM a CROSS JOIN range(0, 67) b LEFT JOIN e ON e.d0 = a.range - 1 AND e.d1 = b.range - 3")
 def arr_pad(spark, sf_dir):
-    return _small(spark, sf_dir).pad([(1, 1), (3, 0)], 9.0).df
+    return _matrix(spark, sf_dir).pad([(1, 1), (3, 0)], 9.0).df
 
 
-@query("arr_atleast_nd", f"WITH {_E}, {_S} SELECT 0::BIGINT AS d0, d0 AS d1, d1 AS d2, v FROM s")
+@query("arr_atleast_nd", f"WITH {_E} SELECT 0::BIGINT AS d0, e.d0 AS d1, e.d1 AS d2, v FROM e")
 def arr_atleast_nd(spark, sf_dir):
-    return _small(spark, sf_dir).atleast_nd(3, front=True).df
+    return _matrix(spark, sf_dir).atleast_nd(3, front=True).df
 
 
 @query("arr_full", "SELECT a.range AS d0, b.range AS d1, 2.5::DOUBLE AS v FROM range(0, 4) a, range(0, 7) b")
@@ -151,16 +145,16 @@ def arr_full(spark, sf_dir):
     return Tensor.full(spark, (4, 7), 2.5).df
 
 
-@query("arr_full_like", f"WITH {_E}, {_S} SELECT d0, d1, 1.0::DOUBLE AS v, 0.0::DOUBLE AS zero FROM s")
+@query("arr_full_like", f"WITH {_E} SELECT d0, d1, 1.0::DOUBLE AS v, 0.0::DOUBLE AS zero FROM e")
 def arr_full_like(spark, sf_dir):
-    m = _small(spark, sf_dir)
+    m = _matrix(spark, sf_dir)
     return m.ones_like().df.join(m.zeros_like().df.withColumnRenamed("v", "zero"), m.dims)
 
 
-@query("arr_matmul", f"WITH {_E}, {_S} SELECT a.d0 AS d0, b.d0 AS d1, round(sum(a.v * b.v), 6) AS v FROM s a JOIN s b ON a.d1 = b.d1 GROUP BY 1, 2")
+@query("arr_matmul", f"WITH {_E}, g AS (SELECT a.d1 AS i, b.d1 AS j, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.d0 = b.d0 GROUP BY 1, 2) SELECT e.d0 AS d0, g.j AS d1, round(sum(e.v * g.v), 4) AS v FROM e JOIN g ON e.d1 = g.i GROUP BY 1, 2")
 def arr_matmul(spark, sf_dir):
-    m = _small(spark, sf_dir)
-    return _out(m.matmul(m.T))
+    m = _matrix(spark, sf_dir)
+    return _out(m.matmul(m.T.matmul(m)), 4)
 
 
 @query("matmul_gram", f"WITH {_E} SELECT a.d1 AS d0, b.d1 AS d1, round(sum(a.v * b.v), 7) AS v FROM e a JOIN e b ON a.d0 = b.d0 GROUP BY 1, 2")
@@ -170,10 +164,10 @@ def matmul_gram(spark, sf_dir):
     return _out(m.T.matmul(m), 7)
 
 
-@query("arr_kron", f"WITH {_E}, {_S}, t AS (SELECT * FROM s WHERE d0 < 2 AND d1 < 3) SELECT a.d0 * 2 + b.d0 AS d0, a.d1 * 3 + b.d1 AS d1, round(a.v * b.v, 6) AS v FROM s a, t b")
+@query("arr_kron", f"WITH {_E}, t AS (SELECT * FROM (VALUES (0, 0, 1.0), (0, 1, -2.0), (0, 2, 0.5), (1, 0, 3.0), (1, 1, 0.25), (1, 2, 4.0)) t(d0, d1, w)) SELECT (e.d0 * 2 + t.d0)::BIGINT AS d0, (e.d1 * 3 + t.d1)::BIGINT AS d1, round(v * w::DOUBLE, 6) AS v FROM e, t")
 def arr_kron(spark, sf_dir):
-    m = _small(spark, sf_dir)
-    return _out(m.kron(Tensor(m.df.where("d0 < 2 AND d1 < 3"), (2, 3))))
+    m = _matrix(spark, sf_dir)
+    return _out(m.kron(Tensor.from_numpy(spark, [[1.0, -2.0, 0.5], [3.0, 0.25, 4.0]])))
 
 
 @query("softmax_rows", f"WITH {_E}, x AS (SELECT d0, d1, exp(v - max(v) OVER (PARTITION BY d0)) AS x FROM e) SELECT d0, d1, round(x / sum(x) OVER (PARTITION BY d0), 6) AS v FROM x")
@@ -181,9 +175,9 @@ def softmax_rows(spark, sf_dir):
     return _out(_matrix(spark, sf_dir).softmax(1))
 
 
-@query("arr_softmax_all", f"WITH {_E}, {_S}, x AS (SELECT d0, d1, exp(v - max(v) OVER ()) AS x FROM s) SELECT d0, d1, round(x / sum(x) OVER (), 6) AS v FROM x")
+@query("arr_softmax_all", f"WITH {_E}, x AS (SELECT d0, d1, exp(v - max(v) OVER ()) AS x FROM e) SELECT d0, d1, round(x / sum(x) OVER (), 6) AS v FROM x")
 def arr_softmax_all(spark, sf_dir):
-    return _out(_small(spark, sf_dir).softmax())
+    return _out(_matrix(spark, sf_dir).softmax())
 
 
 @query("arr_nonzero", f"WITH {_E} SELECT d0, d1 FROM e WHERE v <> 0 AND v > 0.3")
@@ -207,16 +201,17 @@ def arr_isclose(spark, sf_dir):
     return m.isclose(other).df
 
 
-@query("arr_equal", "SELECT true AS same, false AS other, true AS near")
+@query("arr_equal", f"WITH {_E} SELECT bool_and(v = v) AS same, bool_and(v = v + 1e-9::DOUBLE) AS other, bool_and(abs(v - (v + 1e-9)) <= 1e-8 + 1e-5 * abs(v + 1e-9)) AS near, count(*) FILTER (d1 < 63) = count(*) AS fewer FROM e")
 def arr_equal(spark, sf_dir):
-    m = _small(spark, sf_dir)
+    m = _matrix(spark, sf_dir)
     more = m.map(lambda v: v + 1e-9)
-    return spark.createDataFrame([(m.array_equal(m), m.array_equal(more), m.allclose(more))], "same boolean, other boolean, near boolean")
+    fewer = Tensor(m.df.where("d1 < 63"), m.shape)  # cells that only one of them has
+    return spark.createDataFrame([(m.array_equal(m), m.array_equal(more), m.allclose(more), m.array_equal(fewer))], "same boolean, other boolean, near boolean, fewer boolean")
 
 
-@query("arr_maximum_minimum", f"WITH {_E}, {_S} SELECT d0, d1, greatest(v, -v) AS high, least(v, -v) AS low FROM s")
+@query("arr_maximum_minimum", f"WITH {_E} SELECT d0, d1, greatest(v, -v) AS high, least(v, -v) AS low FROM e")
 def arr_maximum_minimum(spark, sf_dir):
-    m = _small(spark, sf_dir)
+    m = _matrix(spark, sf_dir)
     high, low = m.with_other(m.map(lambda v: -v), E.maximum), m.with_other(m.map(lambda v: -v), E.minimum)
     return high.df.withColumnRenamed("v", "high").join(low.df.withColumnRenamed("v", "low"), m.dims)
 
@@ -277,36 +272,32 @@ def row_softmax(spark, sf_dir):
     return rounded(_vectors(spark, sf_dir).select("vec_id", F.posexplode(R.softmax("v")).alias("d1", "v")), ["v"])
 
 
-_HEAD = "h AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings)"
+_HEAD = "h AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 
 
 def _explained(df, column):
     return df.select("vec_id", F.posexplode(column).alias("d1", "v"))
 
 
-def _head(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("vec_id", F.slice("v", 1, 4).alias("v"))
-
-
-@query("row_take_repeat_tile", f"WITH {_HEAD}, o AS (SELECT vec_id, list_concat([v[3], v[1]], [v[1], v[1], v[2], v[2], v[3], v[3], v[4], v[4]], v, v) AS v FROM h) SELECT vec_id, unnest(range(len(v)))::INTEGER AS d1, unnest(v) AS v FROM o")
+@query("row_take_repeat_tile", f"WITH {_HEAD}, o AS (SELECT vec_id, list_concat([v[3], v[1]], flatten(list_transform(v, lambda x: [x, x])), v, v) AS v FROM h) SELECT vec_id, unnest(range(len(v)))::INTEGER AS d1, unnest(v) AS v FROM o")
 def row_take_repeat_tile(spark, sf_dir):
-    return _explained(_head(spark, sf_dir), R.cat(R.take("v", [2, 0]), R.repeat("v", 2), R.tile("v", 2)))
+    return _explained(_vectors(spark, sf_dir), R.cat(R.take("v", [2, 0]), R.repeat("v", 2), R.tile("v", 2)))
 
 
 @query("row_compress_nonzero", f"WITH {_HEAD}, o AS (SELECT vec_id, list_filter(v, lambda x: x > 0) AS v FROM h) SELECT vec_id, unnest(range(len(v)))::INTEGER AS d1, unnest(v) AS v FROM o")
 def row_compress_nonzero(spark, sf_dir):
-    return _explained(_head(spark, sf_dir), R.compress("v", F.transform("v", lambda x: x > 0)))
+    return _explained(_vectors(spark, sf_dir), R.compress("v", F.transform("v", lambda x: x > 0)))
 
 
-@query("row_pad", f"WITH {_HEAD}, o AS (SELECT vec_id, list_concat([0.0, 0.0], v, [0.0], [v[1], v[1]], v, [v[4]], [v[3], v[2]], v, [v[3]], [v[3], v[4]], v, [v[1]]) AS v FROM h) SELECT vec_id, unnest(range(len(v)))::INTEGER AS d1, unnest(v) AS v FROM o")
+@query("row_pad", f"WITH {_HEAD}, o AS (SELECT vec_id, list_concat([0.0, 0.0], v, [0.0], [v[1], v[1]], v, [v[64]], [v[3], v[2]], v, [v[63]], [v[63], v[64]], v, [v[1]], [v[2], v[1]], v, [v[64]], [list_max(v)], v, [list_max(v)]) AS v FROM h) SELECT vec_id, unnest(range(len(v)))::INTEGER AS d1, unnest(v) AS v FROM o")
 def row_pad(spark, sf_dir):
-    """Constant, edge, reflect and wrap."""
-    return _explained(_head(spark, sf_dir), R.cat(R.pad("v", 2, 1, value=0.0), R.pad("v", 2, 1, "edge"), R.pad("v", 2, 1, "reflect"), R.pad("v", 2, 1, "wrap")))
+    """Constant, edge, reflect, wrap, symmetric and maximum."""
+    return _explained(_vectors(spark, sf_dir), R.cat(R.pad("v", 2, 1, value=0.0), R.pad("v", 2, 1, "edge"), R.pad("v", 2, 1, "reflect"), R.pad("v", 2, 1, "wrap"), R.pad("v", 2, 1, "symmetric"), R.pad("v", 1, 1, "maximum")))
 
 
-@query("row_padded_slice", f"WITH {_HEAD}, o AS (SELECT vec_id, list_concat([0.0, 0.0], v, [0.0, 0.0, 0.0], v[2:3]) AS v FROM h) SELECT vec_id, unnest(range(len(v)))::INTEGER AS d1, unnest(v) AS v FROM o")
+@query("row_padded_slice", f"WITH {_HEAD}, o AS (SELECT vec_id, list_concat([0.0, 0.0], v, [0.0, 0.0, 0.0], v[2:3], [v[3], v[2]], v[1:5]) AS v FROM h) SELECT vec_id, unnest(range(len(v)))::INTEGER AS d1, unnest(v) AS v FROM o")
 def row_padded_slice(spark, sf_dir):
-    return _explained(_head(spark, sf_dir), R.cat(R.padded_slice("v", -2, 7, value=0.0), R.padded_slice("v", 1, 3, value=0.0)))
+    return _explained(_vectors(spark, sf_dir), R.cat(R.padded_slice("v", -2, 67, value=0.0), R.padded_slice("v", 1, 3, value=0.0), R.padded_slice("v", -2, 5, mode="reflect")))
 
 
 @query("row_distances", "SELECT a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2)))), 5) AS euclid, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))), 4) AS city FROM embeddings a, embeddings b WHERE b.vec_id = 0")
@@ -330,7 +321,46 @@ def row_gmean(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", F.round(R.gmean(F.transform("v", lambda x: F.abs(x) + 0.1)), 6).alias("gmean"))
 
 
-@query("dtype_table", "SELECT * FROM (VALUES ('int8', 8, -128::DOUBLE, 127::DOUBLE, 'tinyint'), ('uint8', 8, 0, 255, 'smallint'), ('int32', 32, -2147483648, 2147483647, 'int'), ('float32', 32, -3.4028234663852886e38, 3.4028234663852886e38, 'float')) t(dtype, bits, low, high, kind)")
+@query("arr_argsort_flat", f"WITH {_E} SELECT row_number() OVER (ORDER BY e.v, d0 * 64 + d1) - 1 AS d0, d0 * 64 + d1 AS v FROM e")
+def arr_argsort_flat(spark, sf_dir):
+    """All cells as one sequence."""
+    return _matrix(spark, sf_dir).view(-1).argsort(0).df
+
+
+@query("arr_pad_modes", f"WITH {_E}, {_N}, a AS (SELECT unnest(range(n + 3)) AS i, n FROM n), c AS (SELECT i AS d0, b.range AS d1, CASE WHEN i < 2 THEN 2 - i WHEN i - 2 < n THEN i - 2 ELSE 2 * n - i END AS s0, CASE WHEN b.range < 1 THEN 1 WHEN b.range > 64 THEN 62 ELSE b.range - 1 END AS s1 FROM a, range(0, 66) b) SELECT c.d0, c.d1, v FROM c JOIN e ON e.d0 = s0 AND e.d1 = s1")
+def arr_pad_modes(spark, sf_dir):
+    """Reflection on all sides."""
+    return _matrix(spark, sf_dir).pad([(2, 1), (1, 1)], mode="reflect").df
+
+
+@query("arr_matmul_batch", f"WITH {_E}, w AS (SELECT d0, d1 // 8 AS i, d1 % 8 AS k, v FROM e) SELECT a.d0, a.i AS d1, b.i AS d2, round(sum(a.v * b.v), 6) AS v FROM w a JOIN w b ON a.d0 = b.d0 AND a.k = b.k GROUP BY 1, 2, 3")
+def arr_matmul_batch(spark, sf_dir):
+    """Each vector as an 8 x 8 matrix, times its transpose."""
+    m = _matrix(spark, sf_dir).view(-1, 8, 8)
+    return _out(m.matmul(m.transpose((0, 2, 1))))
+
+
+@query("arr_matvec", f"WITH {_E} SELECT d0, round(sum(v * (d1 + 1)), 4) AS v FROM e GROUP BY 1")
+def arr_matvec(spark, sf_dir):
+    return _out(_matrix(spark, sf_dir).matmul(Tensor.from_numpy(spark, [float(i + 1) for i in range(64)])), 4)
+
+
+@query("arr_one_hot", "SELECT r.range AS d0, vec_id AS d1, CASE WHEN label = r.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM embeddings, range(0, 10) r")
+def arr_one_hot(spark, sf_dir):
+    """Labels as unit columns: the new axis comes first."""
+    df = table(spark, sf_dir, "embeddings")
+    n = df.agg(F.max("vec_id")).first()[0] + 1
+    return Tensor(df.select(F.col("vec_id").alias("d0"), F.col("label").alias("v")), (n,)).one_hot(10, axis=0).df
+
+
+@query(
+    "dtype_table",
+    """WITH t AS (SELECT * FROM (VALUES ('int8', 'i', 8, 'tinyint'), ('int16', 'i', 16, 'smallint'), ('int32', 'i', 32, 'int'), ('int64', 'i', 64, 'bigint'), ('uint8', 'u', 8, 'smallint'), ('uint16', 'u', 16, 'int'), ('uint32', 'u', 32, 'bigint'), ('uint64', 'u', 64, 'decimal(20,0)'), ('float32', 'f', 32, 'float'), ('float64', 'f', 64, 'double'), ('complex64', 'c', 64, 'struct<re:float,im:float>')) t(dtype, of, bits, kind)),
+    f AS (SELECT *, CASE WHEN bits = 64 AND of = 'f' THEN 52 ELSE 23 END AS digits, CASE WHEN bits = 64 AND of = 'f' THEN 1023 ELSE 127 END AS top FROM t)
+    SELECT dtype, bits, CASE of WHEN 'i' THEN -pow(2.0::DOUBLE, bits - 1) WHEN 'u' THEN 0 ELSE -(2 - pow(2.0::DOUBLE, -digits)) * pow(2.0::DOUBLE, top) END AS low,
+    CASE of WHEN 'i' THEN pow(2.0::DOUBLE, bits - 1) - 1 WHEN 'u' THEN pow(2.0::DOUBLE, bits) - 1 ELSE (2 - pow(2.0::DOUBLE, -digits)) * pow(2.0::DOUBLE, top) END AS high, kind FROM f""",
+)
 def dtype_table(spark, sf_dir):
-    rows = [(d["dtype"], d["bits"], float(d["min"]), float(d["max"]), T.spark_type(d["dtype"])) for d in map(T.dtype_info, ("int8", "uint8", "int32", "float32"))]
+    names = ("int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "float32", "float64", "complex64")
+    rows = [(d["dtype"], d["bits"], float(d["min"]), float(d["max"]), T.spark_type(d["dtype"])) for d in map(T.dtype_info, names)]
     return spark.createDataFrame(rows, "dtype string, bits int, low double, high double, kind string")

@@ -68,6 +68,16 @@ def frame_iloc(spark, sf_dir):
     return _suppliers(spark, sf_dir).iloc(slice(3, 9, 2)).select("pos", "s_name")
 
 
+@query("frame_iloc_negative", f"WITH {_POS} SELECT pos, s_name FROM s WHERE pos >= (SELECT count(*) FROM s) - 7 AND pos < (SELECT count(*) FROM s) - 2")
+def frame_iloc_negative(spark, sf_dir):
+    return _suppliers(spark, sf_dir).iloc(slice(-7, -2)).select("pos", "s_name")
+
+
+@query("frame_take_negative", "SELECT o.pos::BIGINT AS pos, n_name FROM (VALUES (0, 24), (1, 4), (2, 0)) o(pos, place) JOIN nation ON n_nationkey = place")
+def frame_take_negative(spark, sf_dir):
+    return _nations(spark, sf_dir).take([-1, 4, -25]).df.select("pos", "n_name")
+
+
 @query("frame_take", "SELECT o.pos::BIGINT AS pos, n_name FROM (VALUES (0, 4), (1, 4), (2, 24), (3, 0)) o(pos, place) JOIN nation ON n_nationkey = place")
 def frame_take(spark, sf_dir):
     return _nations(spark, sf_dir).take([4, 4, 24, 0]).df.select("pos", "n_name")
@@ -105,9 +115,12 @@ def frame_extend(spark, sf_dir):
     return Frame(_nations(spark, sf_dir).df.select("pos", "n_name")).extend(Frame(regions)).df
 
 
-@query("frame_clear", "SELECT n_nationkey::BIGINT AS pos FROM nation WHERE false UNION ALL SELECT -1")
+@query("frame_clear", "SELECT n_regionkey, 0::BIGINT AS n FROM nation GROUP BY 1")
 def frame_clear(spark, sf_dir):
-    return _nations(spark, sf_dir).clear().df.select("pos").unionByName(spark.range(1).select((F.col("id") - 1).alias("pos")))
+    """How many rows of each region a cleared frame has."""
+    left = _nations(spark, sf_dir).clear().df.groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    regions = table(spark, sf_dir, "nation").select("n_regionkey").distinct()
+    return regions.join(left, "n_regionkey", "left").select("n_regionkey", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 @query("frame_groupby", "SELECT n_regionkey, count(*)::BIGINT AS n, string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
@@ -163,6 +176,13 @@ def normalize_whole(spark, sf_dir):
     return robust.normalize(table(spark, sf_dir, "part"), "p_size", top=255.0, whole="smallint").select("p_partkey", "normalized")
 
 
+@query("normalize_parameters", "SELECT p_partkey, round(1 / (1 + exp(-(least(greatest(p_retailprice, 950.0::DOUBLE), 1500.0::DOUBLE) - 1200) / 80)), 6) AS normalized FROM part")
+def normalize_parameters(spark, sf_dir):
+    """A sigmoid whose ends, centre and scale are given."""
+    out = robust.normalize(table(spark, sf_dir, "part"), "p_retailprice", "sigmoid", alpha=80, beta=1200, min_val=950, max_val=1500)
+    return rounded(out.select("p_partkey", "normalized"), ["normalized"])
+
+
 _Q = "q AS (SELECT o_orderpriority, min(o_totalprice) AS q0, quantile_cont(o_totalprice, {a}) AS a, quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, {b}) AS b, max(o_totalprice) AS q1 FROM orders GROUP BY 1)"
 
 
@@ -282,18 +302,18 @@ def stitch_weighted(spark, sf_dir):
     return rounded(slider.stitch(patches, ["d0"], "x", "w"), ["v"])
 
 
-_PATCH = "p AS (SELECT event_id % 10 AS d0, CASE WHEN event_id % 3 = 0 OR event_id % 10 = 4 THEN 'nan'::DOUBLE ELSE value END AS x FROM events WHERE event_id % 10 < 9)"
+_PATCH = "p AS (SELECT event_id % 10 AS d0, CASE WHEN event_id % 3 = 0 OR event_id % 10 = 4 THEN 'nan'::DOUBLE ELSE value END AS x FROM events)"
 
 
 def _patches(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 10 < 9")
+    e = table(spark, sf_dir, "events")
     return e.select((F.col("event_id") % 10).alias("d0"), F.when((F.col("event_id") % 3 == 0) | (F.col("event_id") % 10 == 4), float("nan")).otherwise(F.col("value")).alias("v"))
 
 
-@query("stitch_nan_omit", f"WITH {_PATCH}, s AS (SELECT d0, avg(x) FILTER (NOT isnan(x)) AS v FROM p GROUP BY 1) SELECT r.range AS d0, round(coalesce(v, 'nan'::DOUBLE), 6) AS v FROM range(0, 10) r LEFT JOIN s ON d0 = r.range")
+@query("stitch_nan_omit", f"WITH {_PATCH}, s AS (SELECT d0, avg(x) FILTER (NOT isnan(x)) AS v FROM p GROUP BY 1) SELECT r.range AS d0, round(coalesce(v, 'nan'::DOUBLE), 6) AS v FROM range(0, 11) r LEFT JOIN s ON d0 = r.range")
 def stitch_nan_omit(spark, sf_dir):
     """NaN counts for nothing; cells that no number covers are NaN."""
-    return rounded(slider.stitch_grid(_patches(spark, sf_dir), (10,)), ["v"])
+    return rounded(slider.stitch_grid(_patches(spark, sf_dir), (11,)), ["v"])
 
 
 @query("stitch_nan_propagate", f"WITH {_PATCH} SELECT d0, round(CASE WHEN bool_or(isnan(x)) THEN 'nan'::DOUBLE ELSE avg(x) END, 6) AS v FROM p GROUP BY 1")
@@ -314,6 +334,44 @@ def padded_slice(spark, sf_dir):
     return slices.padded_slice(numbered, "pos", "c_custkey", -2, 5, (1, 1), ["c_mktsegment"], fill=-1)
 
 
+_WHERE = {
+    "edge": "CASE WHEN p < 0 THEN 0 WHEN p >= n THEN n - 1 ELSE p END",
+    "reflect": "CASE WHEN n = 1 THEN 0 WHEN (p % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) < n THEN (p % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) ELSE 2 * n - 2 - (p % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) END",
+    "symmetric": "CASE WHEN (p % (2 * n) + 2 * n) % (2 * n) < n THEN (p % (2 * n) + 2 * n) % (2 * n) ELSE 2 * n - 1 - (p % (2 * n) + 2 * n) % (2 * n) END",
+    "wrap": "(p % n + n) % n",
+}
+
+
+def _padded(mode):
+    """A slice of each nation's customers that reaches beyond both ends (places -3 to 99), padded by a mode of places."""
+
+    @query(
+        f"padded_slice_{mode}",
+        f"""WITH c AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, c_custkey FROM customer), g AS (SELECT c_nationkey, least(count(*), 100) AS n FROM customer GROUP BY 1),
+        p AS (SELECT c_nationkey, n, r.range AS p FROM g CROSS JOIN range(-3, 100) r) SELECT c_nationkey, p + 3 AS pos, c_custkey FROM (SELECT *, {_WHERE[mode]} AS i FROM p) JOIN c USING (c_nationkey, i)""",
+    )
+    def run(spark, sf_dir):
+        from pyspark.sql import Window
+
+        w = Window.partitionBy("c_nationkey")
+        numbered = table(spark, sf_dir, "customer").withColumns({"pos": (F.row_number().over(w.orderBy("c_custkey")) - 1).cast("bigint"), "size": F.count("*").over(w)})
+        return slices.padded_slice(numbered, "pos", "c_custkey", -2, 99, (1, 1), ["c_nationkey"], mode=mode, size="size")
+
+
+for _mode in _WHERE:
+    _padded(_mode)
+
+
+@query("padded_slice_mean", """WITH c AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, c_acctbal FROM customer), m AS (SELECT c_nationkey, avg(c_acctbal) AS mean FROM c WHERE i < 5 GROUP BY 1)
+    SELECT c_nationkey, r.range + 2 AS pos, round(coalesce((SELECT c_acctbal FROM c WHERE c.c_nationkey = m.c_nationkey AND c.i = r.range), mean), 6) AS c_acctbal FROM m CROSS JOIN range(-2, 5) r""")
+def padded_slice_mean(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("c_nationkey")
+    numbered = table(spark, sf_dir, "customer").withColumns({"pos": (F.row_number().over(w.orderBy("c_custkey")) - 1).cast("bigint"), "size": F.count("*").over(w)})
+    return rounded(slices.padded_slice(numbered, "pos", "c_acctbal", -2, 5, (0, 0), ["c_nationkey"], mode="mean", size="size"), ["c_acctbal"])
+
+
 @query(
     "embed_slice",
     """WITH s AS (SELECT n_nationkey, n_nationkey - 8 AS lo, n_nationkey * 2 AS hi, 20 AS n FROM nation) SELECT n_nationkey, least(greatest(lo, 0), n) AS start, greatest(least(hi, n), 0, least(greatest(lo, 0), n)) AS stop,

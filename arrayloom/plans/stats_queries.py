@@ -82,11 +82,27 @@ def weighted_stats(spark, sf_dir):
     return rounded(rounded(out, ["total", "squares", "n"], 4), ["mean"])
 
 
-@query("running_std_single", """SELECT n_regionkey, sum(n_nationkey)::DOUBLE AS total, 'nan'::DOUBLE AS std FROM nation WHERE n_nationkey < 5 GROUP BY n_regionkey HAVING count(*) = 1""")
+@query(
+    "weighted_std",
+    """WITH w AS (SELECT l_suppkey, l_quantity * l_tax AS wx, l_tax AS w FROM lineitem), s AS (SELECT l_suppkey, sum(wx) AS t, sum(wx * wx) AS q, sum(w) AS n FROM w GROUP BY 1)
+    SELECT l_suppkey, round(t / n, 6) AS mean, round(sqrt(greatest(0.0, (n * q - t * t) / (n * (n - 1)))), 5) AS std FROM s WHERE abs(n * (n - 1)) > 1e-6""",
+)
+def weighted_std(spark, sf_dir):
+    """Squares are those of the weighted values."""
+    out = stats.summary(stats.running(table(spark, sf_dir, "lineitem"), "l_quantity", "l_tax", ["l_suppkey"])).where("abs(n * (n - 1)) > 1e-6")
+    return rounded(rounded(out.select("l_suppkey", "mean", "std"), ["mean"]), ["std"], 5)
+
+
+@query("stats_shape", "SELECT user_id, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def stats_shape(spark, sf_dir):
+    out = stats.stats(table(spark, sf_dir, "events"), "value", ["user_id"], shape=True, quantile=None, extreme=False)
+    return rounded(out.select("user_id", F.col("shape")[0].alias("n"), "mean"), ["mean"])
+
+
+@query("running_std_single", """SELECT n_regionkey, n_nationkey, sum(n_nationkey)::DOUBLE AS total, 'nan'::DOUBLE AS std FROM nation GROUP BY n_regionkey, n_nationkey HAVING count(*) = 1""")
 def running_std_single(spark, sf_dir):
     """The sample std of one observation is NaN, not NULL."""
-    one = table(spark, sf_dir, "nation").where("n_nationkey < 5")
-    return stats.summary(stats.running(one, "n_nationkey", by=["n_regionkey"])).where("n = 1").select("n_regionkey", "total", "std")
+    return stats.summary(stats.running(table(spark, sf_dir, "nation"), "n_nationkey", by=["n_regionkey", "n_nationkey"])).where("n = 1").select("n_regionkey", "n_nationkey", "total", "std")
 
 
 _POOL = """WITH g AS (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2),
@@ -124,10 +140,10 @@ def gmean_price(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(F.round(stats.gmean("l_extendedprice"), 4).alias("gmean"))
 
 
-@query("group_items", """SELECT event_type, len(l)::BIGINT AS n, l[1] AS first, l[len(l)] AS last FROM (SELECT event_type, list(user_id ORDER BY event_id) AS l FROM events GROUP BY 1)""")
+@query("group_items", """SELECT event_type, len(l)::BIGINT AS n, array_to_string(l, ',') AS items FROM (SELECT event_type, list(user_id ORDER BY event_id) AS l FROM events GROUP BY 1)""")
 def group_items(spark, sf_dir):
     out = groups.group_items(table(spark, sf_dir, "events"), "event_type", "user_id", "event_id")
-    return out.select("event_type", F.size("items").cast("bigint").alias("n"), F.col("items")[0].alias("first"), F.element_at("items", -1).alias("last"))
+    return out.select("event_type", F.size("items").cast("bigint").alias("n"), F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).alias("items"))
 
 
 @query("group_indices", """SELECT user_id, count(*)::BIGINT AS n, min(event_id) AS first, max(event_id) AS last, sum(event_id)::BIGINT AS total FROM events GROUP BY 1""")
@@ -185,18 +201,36 @@ def flat_bounds(spark, sf_dir):
     return _bounds(spark, sf_dir).select("o_custkey", "n", "stop", F.col("start").cast("bigint").alias("start"))
 
 
-@query("flat_ravel", f"WITH {_BOUNDS} SELECT o_custkey, i::BIGINT AS inner_no, (stop - n + i)::BIGINT AS flat FROM b, range(0, 3) r(i) WHERE i < n")
+@query("flat_ravel", f"WITH {_BOUNDS} SELECT o_custkey, i::BIGINT AS inner_no, (stop - n + i)::BIGINT AS flat FROM (SELECT *, unnest(range(n)) AS i FROM b)")
 def flat_ravel(spark, sf_dir):
     bounds = _bounds(spark, sf_dir)
-    at = bounds.select("o_custkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(2), F.col("n") - 1))).alias("inner_no"))
+    at = bounds.select("o_custkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("inner_no"))
     return groups.flat_ravel(at, bounds, "o_custkey", "inner_no").select("o_custkey", "inner_no", F.col("flat").cast("bigint").alias("flat"))
 
 
-@query("flat_unravel", f"WITH {_BOUNDS}, p AS (SELECT range::BIGINT AS flat FROM range(0, 60)) SELECT flat, o_custkey AS outer_no, (flat - (stop - n))::BIGINT AS inner_no FROM p JOIN b ON o_custkey % 16 = 3 AND stop - n <= flat AND flat < stop")
+@query("flat_unravel", f"WITH {_BOUNDS} SELECT o_custkey % 16 AS part, stop - n + i AS flat, o_custkey AS outer_no, i::BIGINT AS inner_no FROM (SELECT *, unnest(range(n)) AS i FROM b)")
 def flat_unravel(spark, sf_dir):
-    bounds = _bounds(spark, sf_dir).where("part = 3")
-    at = spark.range(60).withColumnRenamed("id", "flat")
-    return groups.flat_unravel(at, bounds, "o_custkey", "flat").select("flat", F.col("outer").alias("outer_no"), F.col("inner").cast("bigint").alias("inner_no"))
+    """All flat places of each part, and some beyond, which are dropped."""
+    bounds = _bounds(spark, sf_dir)
+    at = groups.flat_length(bounds, ["part"]).select("part", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.col("n"))).alias("flat"))
+    return groups.flat_unravel(at, bounds, "o_custkey", "flat", by=["part"]).select("part", "flat", F.col("outer").alias("outer_no"), F.col("inner").cast("bigint").alias("inner_no"))
+
+
+@query("flat_lengths", "SELECT vec_id, sum(len(embedding)) OVER (ORDER BY vec_id)::BIGINT AS stop, (SELECT sum(len(embedding)) FROM embeddings)::BIGINT AS n FROM embeddings")
+def flat_lengths(spark, sf_dir):
+    """Lists in one sequence, without groups."""
+    bounds = groups.flat_bounds(groups.flat_lengths(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", "n")
+    return bounds.select("vec_id", "stop").join(F.broadcast(groups.flat_length(bounds)))  # one row
+
+
+@query(
+    "islands_flat",
+    """WITH s AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus IS NOT DISTINCT FROM lag(o_orderstatus) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS st FROM orders WINDOW w AS (ORDER BY o_orderkey)),
+    i AS (SELECT *, sum(st) OVER (ORDER BY o_orderkey) AS island FROM s) SELECT island::BIGINT AS island, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*)::BIGINT AS n FROM i GROUP BY 1""",
+)
+def islands_flat(spark, sf_dir):
+    """Runs of one status over all orders, in one sequence."""
+    return groups.group_consecutive_indices(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", offset=0)
 
 
 @query("argmaxima", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -244,6 +278,11 @@ def boolmask(spark, sf_dir):
     return topk.boolmask(table(spark, sf_dir, "nation").where("n_regionkey <> 2"), "n_nationkey", 40)
 
 
+@query("boolmask_nd", "SELECT a.range AS d0, b.range AS d1, EXISTS (SELECT 1 FROM nation WHERE n_regionkey = a.range AND n_nationkey = b.range) AS flag FROM range(0, 5) a, range(0, 25) b")
+def boolmask_nd(spark, sf_dir):
+    return topk.boolmask(table(spark, sf_dir, "nation"), ["n_regionkey", "n_nationkey"], (5, 25))
+
+
 @query("isect_rows", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS flag FROM customer")
 def isect_rows(spark, sf_dir):
     return topk.isect_rows(table(spark, sf_dir, "customer"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey").select("c_custkey", "flag")

@@ -55,16 +55,30 @@ def with_positions(df: DataFrame, order: list[str], pos: str = POS) -> DataFrame
     those sizes meet in one place. The sorted rows are settled, since bounds of ranges are sampled: computed twice, they
     could differ.
     """
-    ties = [c for c in df.columns if c not in order]
-    keys = [*order, *ties]
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    placed = settled(placed).withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(F.lit(2**33 - 1))})
+    placed = _placed(df, order).withColumn("_in", F.col("_id").bitwiseAND(F.lit(2**33 - 1)))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return placed.join(offsets, "_part").withColumn(pos, F.col("_before") + F.col("_in")).select(pos, *df.columns)
 
 
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in range partitions, sorted within each, settled, with _id and _part."""
+    keys = [*order, *(c for c in df.columns if c not in order)]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    return settled(placed).withColumn("_part", F.shiftright("_id", 33))
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df with the sum of a column up to each row in the given order: sums within range partitions, moved by those of the partitions before."""
+    placed = _placed(df, order)
+    inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = placed.groupBy("_part").agg(F.sum(value).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    summed = placed.withColumn("_in", F.sum(value).over(inside))
+    return summed.join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col("_in")).alias(out))
+
+
 def to_pandas(df: DataFrame, pos: str = POS) -> pd.DataFrame:
     return df.orderBy(pos).drop(pos).toPandas()
 
