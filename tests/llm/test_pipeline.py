@@ -1,15 +1,19 @@
 """The pipeline and the registered queries on the smallest tables."""
 
+import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from arrayloom.llm import common, queries, toxicity
+from arrayloom.llm import common, quality, queries, toxicity
 
 CONTRACT = {
     1: ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
@@ -71,6 +75,73 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
 
 def test_training_sample_is_bounded_and_fixed(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    texts, y, prevalence = toxicity.training_sample(docs, labels, per_class=5)
-    assert len(texts) == len(y) <= 10 and 0 < prevalence < 1
-    assert toxicity.training_sample(docs.repartition(7), labels, per_class=5)[0] == texts
+    key = lambda r: r.doc_id
+    rows = sorted(toxicity.training_sample(docs, labels, per_class=5).collect(), key=key)
+    assert 2 < len(rows) <= 10 and 0 < rows[0].prevalence < 1 and all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in rows)
+    assert sorted(toxicity.training_sample(docs.repartition(7).unionByName(docs), labels, per_class=5).collect(), key=key) == rows
+    few = toxicity.training_sample(docs, labels, per_class=50, most_bytes=5000).collect()
+    assert 0 < sum(len(r.text.encode()) for r in few if r.label) <= 5000
+
+
+def random_text(rng, n):
+    return " ".join("".join(rng.choice("aeioubcdlmnprst") for _ in range(rng.choice([4, 5, 6, 7]))) for _ in range(n))
+
+
+def pipeline_tables(path):
+    """Documents of words of their own, but for near copies, exact copies, shared passages, poor texts and odd rows."""
+    rng = random.Random(31)
+    texts = [random_text(rng, rng.choice([60, 150, 400])) for _ in range(40)]
+    near = texts[3].split()
+    near[20] = "changed"
+    shared = random_text(rng, 60)
+    texts += [" ".join(near), texts[4], texts[4], "poor " * 50, "few words", None, ""]
+    texts += [f"{random_text(rng, 80)} {shared} {random_text(rng, 70)}" for _ in range(4)]
+    rows = [(3 * i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)] + [(None, texts[7], "en", None, 9), (3 * 5, texts[5], "en", "s1", 1), (3 * 6, random_text(rng, 90), "en", "s1", 1)]
+    columns = list(zip(*rows, strict=True))
+    names = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]
+    pq.write_table(pa.table([pa.array(c, t) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names]), f"{path}/documents.parquet")
+    pq.write_table(pa.table([pa.array([0, 3], pa.int64()), pa.array([1, 1], pa.int32()), pa.array([0, 0], pa.int32())], names=["doc_id", "quality", "toxic"]), f"{path}/labels.parquet")
+    return rows, shared.split()
+
+
+def by_hand(rows, shared):
+    """The pipeline's texts in plain Python; no label is toxic, so the classifier keeps all."""
+    kept = [(d, t) for d, t, *_ in rows if quality.measures(pa.array([t]))["kept"][0]]
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in kept]
+    group = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    order = lambda i: (kept[i][0] is None, kept[i][0] or 0, hashlib.md5(kept[i][1].encode()).digest())
+    stay = sorted(min((i for i in range(len(kept)) if group[i] == g), key=order) for g in set(group))
+    out, met = [], False
+    for d, t in sorted((kept[i] for i in stay), key=lambda r: (r[0] is None, r[0] or 0)):
+        w = t.split()
+        at = next((i for i in range(len(w)) if w[i : i + 60] == shared), None)
+        if at is not None and met:
+            t = " ".join(w[:at] + w[at + 60 :])
+        met |= at is not None
+        out.append((d, t))
+    return out
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    rows, shared = pipeline_tables(tmp_path)
+    want = by_hand(rows, shared)
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    tokenizer = __import__("tokenizers").Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = sorted((d is None, d or 0, [*tokenizer.encode(t, add_special_tokens=False).ids, 0]) for d, t in want)
+    assert len(ids) == 48 - 6 + 1 and got.length.sum() == sum(len(x) for *_, x in ids)
+    for none, d, x in ids:
+        pieces = got[got.doc_id.isna()] if none else got[got.doc_id == d]
+        pieces = pieces[pieces.doc_tokens == len(x)].sort_values("start")
+        assert pieces.length.sum() == len(x) and all(r.ids_crc32 == zlib.crc32(np.array(x[int(r.start) : int(r.start + r.length)], "<u4").tobytes()) for r in pieces.itertuples()), d
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    pipeline_tables(tmp_path)
+    for name in ("documents", "labels"):
+        pq.write_table(pq.read_table(f"{tmp_path}/{name}.parquet").slice(0, 0), f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

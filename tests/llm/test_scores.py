@@ -46,6 +46,31 @@ def test_compression_bands():
     assert kept == [True] * 4 + [False] * 3
 
 
+def test_verdicts_against_brute_force(spark):
+    """Ratios and bands computed again, text by text."""
+    import zstandard
+
+    rng = random.Random(12)
+    noise = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    x, y = ("".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(1024)) for k in (0, 1))
+    texts = [prose(rng, rng.choice([5, 40, 300, 2500])) + (" " + noise(rng.choice([1, 300, 5000]))) * rng.randrange(2) + " again" * rng.choice([0, 0, 30, 900]) for _ in range(150)]
+    texts += [f"{x} a b c d {y} a b c d", " ".join([x, y, x, y, y, x, y, x, x, y, x, y]), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    press = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
+    ratio = lambda data: len(press.compress(data)) / len(data)
+    for r in quality.judge(df).collect():
+        data = (texts[r.doc_id] or "").encode()
+        w = words(texts[r.doc_id])
+        seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        covered = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        low, high = next((b[1], b[2]) for b in quality.BANDS[::-1] if len(data) >= b[0])
+        parts = [data[i : i + 4096] for i in range(0, len(data) - 4095, 4096)] + ([data[-4096:]] if len(data) > 4096 and len(data) % 4096 else [])
+        bad = sum(not 0.20 <= ratio(p) <= 0.68 for p in parts) if len(data) > 4096 else 0
+        good = not data or (low <= ratio(data) <= high and bad <= 0.25 * len(parts))
+        assert (r.n_repeat_words, r.base_failed, r.kept) == (len(covered), failed, not failed and good), r.doc_id
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(400, 16)).astype(np.float32)
@@ -77,6 +102,25 @@ def test_bounds_hold():
     assert (np.abs(unit @ unit.T - near) <= error[:, None] * (1 + error[None, :]) + error[None, :]).all()
 
 
+def test_bounds_hold_in_many_dimensions(spark):
+    """Flat vectors of 4096 components, whose int8 products are as large as they get."""
+    rng = np.random.default_rng(8)
+    base = np.sign(rng.normal(size=4096)).astype(np.float32)
+    v = np.tile(base, (120, 1))
+    for i in range(120):
+        v[i, rng.integers(0, 4096, i % 7)] *= -1
+    q8, scale, error = nearest.rounded(v.astype(float))
+    near = nearest.products(q8, q8) * scale[:, None] * scale[None, :]
+    unit = v / np.sqrt((v.astype(float) ** 2).sum(axis=1, keepdims=True))
+    assert (np.abs(unit @ unit.T - near) <= error[:, None] * (1 + error[None, :]) + error[None, :] + 1e-12).all()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in sorted(nearest.search(df, df.where("vec_id % 50 = 0"), 5).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append(r.vec_id)
+    cos = unit.astype(float) @ unit.T.astype(float)
+    assert {q: sorted((-round(cos[q, j], 12), j) for j in range(120) if j != q)[:5] for q in got} == {q: [(-round(cos[q, j], 12), j) for j in js] for q, js in got.items()} and sorted(got) == [0, 50, 100]
+
+
 def toxic_corpus(n=900, seed=4):
     rng = random.Random(seed)
     rows = []
@@ -121,16 +165,16 @@ def test_subwords_are_bounded_by_words():
 
 
 @pytest.mark.parametrize("known", [1 << 18, 20])
-def test_language_model(spark, known, monkeypatch):
-    monkeypatch.setattr(brown, "KNOWN", known)
+def test_language_model(spark, known):
     rng = random.Random(6)
     rows = []
     for i in range(300):
         side = ["red", "green", "blue"] if i % 2 else ["ein", "zwei", "drei"]
         rows.append((i, " ".join(rng.choice(side) + rng.choice(["", "s", "Ed", f"{rng.randrange(30)}"]) for _ in range(rng.randrange(30)))))
-    rows += [(500, None), (501, ""), (None, "red green"), (1, rows[1][1])]
+    x, y = ("".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(1024)) for k in (0, 1))
+    rows += [(500, None), (501, ""), (None, "red green"), (1, rows[1][1]), (502, x), (504, y), (505, f"{y} {y}"), (506, "wort " * 20_000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, row int")
-    got = brown.score(df).collect()
+    got = brown.score(df, known=known).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = lambda t: [*words((t or "").translate(lower)), 0]
@@ -141,6 +185,43 @@ def test_language_model(spark, known, monkeypatch):
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert brown.score(df.limit(0)).count() == 0
+    lone = brown.score(df.where("doc_id % 300 = 10000")).collect()
+    assert lone == []
+
+
+def test_scores_against_brute_force(spark):
+    """Class bigrams counted again in Python with the model's classes."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.choice([1, 1, 2, 3]) + rng.choice(["", "", f"{rng.randrange(9)}"]) for _ in range(rng.randrange(40)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parameters = {"classes": 7, "head": 10, "known": 40}
+    vocab = brown.vocabulary(df).cache()
+    m = brown.fit(df, vocab, **parameters)
+    column = pa.array([t for _, t in rows])
+    t = brown.tokens_of(column)
+    label = m.classes.label(t, m.classes.known.of(t.word, t.other)).tolist()
+    texts = [label[a:b] for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True)]
+    tokens = [[*words(x), 0] for _, x in rows]
+    count = collections.Counter(w for x in tokens for w in x)
+    class_of = {w: c for x, ys in zip(tokens, texts, strict=True) for w, c in zip(x, ys, strict=True)}
+    assert all(class_of[w] == c for x, ys in zip(tokens, texts, strict=True) for w, c in zip(x, ys, strict=True)) and class_of[0] == 0
+    pairs, sizes = collections.Counter(), collections.Counter()
+    for ys in texts:
+        pairs.update(zip([0, *ys[:-1]], ys))
+        sizes.update(ys)
+    members, total = collections.Counter(class_of.values()), sum(sizes.values())
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    got = {r.doc_id: r.score for r in brown.score(df, held_out=99, **parameters).collect()}
+
+    def score(x, ys):
+        out = 0.0
+        for w, before, c in zip(x, [0, *ys[:-1]], ys):
+            share = (sizes[c] + 1) / (total + 7)
+            follow = (pairs[before, c] + brown.PRIOR * share) / (sum(n for (a, _), n in pairs.items() if a == before) + brown.PRIOR)
+            out += math.log10(follow) + math.log10((count[w] + 0.1) / (sizes[c] + 0.1 * (members[c] + 1)))
+        return out
+
+    assert all(got[i] == pytest.approx(score(x, ys)) for (i, _), x, ys in zip(rows, tokens, texts, strict=True)) and held(10) in (True, False)
 
 
 def test_class_probabilities_sum_to_one(spark):
@@ -149,11 +230,9 @@ def test_class_probabilities_sum_to_one(spark):
     vocab = brown.vocabulary(df)
     m = brown.fit(df, vocab)
     assert np.allclose((10**m.transition).sum(axis=1), 1)
-    counts = dict(zip(m.known.tolist(), m.counts.tolist()))
-    item = dict(zip(m.known.tolist(), m.items.of(m.known, np.zeros(len(m.known), np.int64)).tolist()))
     for c in range(brown.CLASSES):
-        members = [w for w in counts if m.cls[item[w]] == c]
-        assert sum((counts[w] + 0.1) / 10 ** m.spread[c] for w in members) + 0.1 / 10 ** m.spread[c] == pytest.approx(1)
+        members = m.counts[m.classes.of_known == c]
+        assert sum((n + 0.1) / 10 ** m.spread[c] for n in members) + 0.1 / 10 ** m.spread[c] == pytest.approx(1)
 
 
 def test_exchange_finds_two_languages():

@@ -56,7 +56,7 @@ def test_known_chunks_are_bounded():
         texts = [f"{k}w{i} v{i} u{k}" for i in range(5)]
         ids, ends = encoder(pa.array(texts))
         assert ids.tolist() == [n for t in texts for n in (len(t.split(" ")[0]), len(t.split(" ")[1]) + 1, len(t.split(" ")[2]) + 1)]
-    assert len(encoder.keys) < 60
+    assert len(encoder.keys) < 60 and encoder.used <= len(encoder.flat)
 
 
 def test_every_rank_is_reached(reference):
@@ -94,8 +94,8 @@ def test_packing(spark, tokenizer, weights):
     sizes = filled.groupby("sequence_id").length.sum()
     assert sorted(sizes.index) == list(range(len(sizes))) and all(n == 1024 or n & (n - 1) == 0 for n in sizes) and (sizes < 1024).sum() <= 10
     if weights is None:
-        share = out.groupby(["sequence_id", "source"]).length.sum().unstack().fillna(0)[sizes == 1024]
-        target = out.groupby("source").length.sum() / out.length.sum() * 1024
+        share = out.groupby(["sequence_id", "queue"]).length.sum().unstack().fillna(0)[sizes == 1024]
+        target = out.groupby("queue").length.sum() / out.length.sum() * 1024
         assert (share - target).abs().max().max() < 2
     assert packing.pack(df.limit(0), TOKENIZER).count() == 0
 
@@ -112,6 +112,38 @@ def test_mixture_plans_are_whole():
         packing.Mixture({"a": 5, "b": 5}, {"a": 1.0})
 
 
+def test_deficits_are_carried_where_queues_end():
+    """Token by token: the queue whose next token is due first is served; chunks planned apart say the same."""
+    mix = packing.Mixture({"a": 900, "b": 5000, "c": 40, "d": 2600}, {"a": 1.0, "b": 1.0, "c": 0.3, "d": 2.0}, window=64, per_chunk=4)
+    sent, served = np.zeros(4, np.int64), []
+    for _ in range(mix.total):
+        due = np.where(sent < mix.totals, (sent + 0.5) / mix.weights, np.inf)
+        s = int(np.argmin(due))
+        sent[s] += 1
+        served.append(s)
+    at = 0
+    for chunk in range(-(-mix.total // 256)):
+        first, sends, sizes = mix.plan(chunk)
+        assert first.tolist() == np.bincount(served[:at], minlength=4).tolist()
+        for size, send in zip(sizes, sends, strict=True):
+            assert send.tolist() == np.bincount(served[at : at + size], minlength=4).tolist()
+            at += size
+            done = np.bincount(served[:at], minlength=4)
+            deficits = mix.deficits(done)
+            assert (np.abs(deficits) <= 1.5).all() and (deficits[done == mix.totals] == 0).all()
+    assert at == mix.total
+
+
+def test_sources_with_little_share_a_queue(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAST_SHARE", 0.1)
+    rows = [(i, "word " * (300 if i < 4 else 3), "big" if i < 4 else f"host{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(df, TOKENIZER, power=0.5).toPandas()
+    assert set(out.queue) == {"big", packing.REST} and out.groupby("doc_id").length.sum().equals(out.groupby("doc_id").doc_tokens.first())
+    for _, pieces in out.sort_values("start").groupby("doc_id"):
+        assert (pieces.start.to_numpy() == np.append(0, np.cumsum(pieces.length.to_numpy())[:-1])).all()
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 1023, 1024, 1025, 150_000):
@@ -159,5 +191,40 @@ def test_word_hashes():
     h = words.hashes(buf, starts, ends)
     assert np.diff(bounds).tolist() == [4, 0, 1, 2, 2]
     assert h[0] == h[2] == h[4] == h[6] and h[1] == h[3] and h[7] == h[8] and len(set(h.tolist())) == 4
-    assert words.hashes(buf, starts, ends, lower=False)[0] != h[4]
-    assert len(words.shingle_set(h[:4], 5)) == 1 and words.shingle_set(h[:1], 5)[0] != words.shingle_set(h[:2], 5)[0] and not len(words.shingle_set(h[:0], 5))
+    assert words.hashes(buf, starts, ends, "exact")[0] != h[4] and (words.hashes(buf, starts, ends, lane=1) != h).all()
+    _, first, which = words.distinct(buf, starts, ends)
+    assert len(first) == 4 and (which[[0, 2, 4, 6]] == which[0]).all()
+    assert words.same(buf, starts, ends, np.array([0, 0, 1]), np.array([2, 1, 3]), lower=True).tolist() == [True, False, True]
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word of n characters and its complement: sums of powers modulo 2^64 can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_polynomials_confuse(n, tokenizer, reference):
+    x, y = thue_morse(n)
+    buf, offsets = common.text_buffer(pa.array([x, y]))
+    for kind in ("lower", "exact", "raw"):
+        starts, ends, _ = words.spans(buf, offsets)
+        h = words.hashes(buf, starts, ends, kind)
+        assert h[0] != h[1]
+    encoder = chunks.tokenizer_encoder(open(TOKENIZER, "rb").read(), "<u2")
+    bpe = byte_bpe.ByteBpe(open(RANKS, "rb").read(), P.PATTERN)
+    for texts in ([x, y], [y, x, x + " " + y]):
+        ids, ends = encoder(pa.array(texts))
+        more, stops = bpe.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[ends[i] : ends[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+            assert more[stops[i] : stops[i + 1]].tolist() == reference.encode_ordinary(t) and bpe.decode(more[stops[i] : stops[i + 1]]) == t.encode()
+
+
+def test_chunks_whose_hashes_are_equal(monkeypatch):
+    """With a hash that is the same for all, bytes still tell chunks apart."""
+    monkeypatch.setattr(words, "hashes", lambda buf, starts, ends, kind="lower", lane=0: np.zeros(len(starts), np.uint64))
+    encoder = chunks.ChunkEncoder(lambda xs: [np.frombuffer(x.encode(), np.uint8).astype("<u2").tobytes() for x in xs], "<u2")
+    for texts in (["ab cd ab", "cd", "ef ab"], ["cd ef", "", "ab"]):
+        ids, ends = encoder(pa.array(texts))
+        assert [bytes(ids[a:b].astype(np.uint8)).decode() for a, b in zip(ends[:-1], ends[1:], strict=True)] == texts
