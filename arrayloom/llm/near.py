@@ -101,11 +101,12 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 def prefix_postings(classes: DataFrame, agree: int = AGREE) -> DataFrame:
     """list, node, shared: the prefix lists that classes (node, sig) share, and how many pairs of the node others share.
 
-    How long a list is comes from an aggregation and a join, which Spark can split where a list is very long.
+    How long a list is comes from an aggregation and a join with its staged result, which Spark can split where a list is
+    very long.
     """
     value = F.col("value").cast("long") + F.lit(2**31)
     posted = classes.select("node", F.posexplode("sig").alias("coordinate", "value")).select(((F.col("coordinate").cast("long") * F.lit(2**32)) + value).alias("list"), "node")
-    lengths = posted.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
+    lengths, _ = staged(posted.groupBy("list").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
     of_node = Window.partitionBy("node")
     ranked = posted.join(lengths, "list").withColumns({"shared": F.count("*").over(of_node), "place": F.row_number().over(of_node.orderBy("length", "list"))})
     return ranked.where(F.col("place") <= F.col("shared") - (agree - 1)).select("list", "node", "shared")
@@ -233,8 +234,10 @@ def _judged(docs: DataFrame, k: int, percent: int, agree: int) -> DataFrame:
     classes, _ = staged(grouped.select("class", "least.*", "n", "sig").withColumn("node", F.monotonically_increasing_id()), "classes")
     postings, at = staged(prefix_postings(classes, agree), "postings")
     best = postings.groupBy("list").agg(F.min(F.struct((-F.col("shared")).alias("shared"), "node")).alias("best"))
-    led, led_at = staged(postings.join(best.select("list", F.col("best.node").alias("lead")), "list").select("lead", "node").distinct(), "led")
+    best, best_at = staged(best.select("list", F.col("best.node").alias("lead")), "best")
+    led, led_at = staged(postings.join(best, "list").select("lead", "node").distinct(), "led")
     dropped(spark, at)
+    dropped(spark, best_at)
     stars = led.where("lead <> node").groupBy(F.least("lead", "node").alias("x"), F.greatest("lead", "node").alias("y")).agg(F.min("lead").alias("a"))
     stars = stars.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
     stars, at = staged(colliding(stars, classes, percent, agree), "stars")
