@@ -37,4 +37,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    out, _ = staged(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
+    dropped(spark, path)
+    return out

@@ -199,7 +199,7 @@ def outside_pairs(members: DataFrame, classes: DataFrame, percent: int, agree: i
 def _joined_up(links: DataFrame, path: str, led: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, agree: int) -> DataFrame:
     """The components of links and of what lists hold beyond them."""
     spark = docs.sparkSession
-    groups, _ = staged(components(links), "groups")
+    groups = components(links)
     grouped = lambda df, node, name: df.join(groups.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     pairs, at = staged(outside_pairs(grouped(led, "node", "group"), classes, percent, agree), "outside")
     for most in (*FIRST, None):
@@ -211,12 +211,14 @@ def _joined_up(links: DataFrame, path: str, led: DataFrame, classes: DataFrame,
         now, now_at = staged(now.select("a", "b"), "now")
         more, more_at = staged(confirmed(now, classes, docs, k, percent), "more")
         links, links_at = staged(links.unionByName(more), "links")
-        groups, _ = staged(components(links), "groups")
+        groups = components(links)
         left = grouped(grouped(pairs, "a", "group_a"), "b", "group_b").where("group_a <> group_b").select("a", "b", "agreed")
         left, left_at = staged(left.join(now, ["a", "b"], "left_anti"), "outside")
         for old in (path, at, now_at, more_at):
             dropped(spark, old)
         pairs, at, path = left, left_at, links_at
+    dropped(spark, at)
+    dropped(spark, path)
     return groups
 
 
