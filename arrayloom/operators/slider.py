@@ -127,6 +127,18 @@ def stitch(patches: DataFrame, dims: list[str], value: str = "v", weight: str |
     return sums.select(*dims, F.when(F.col("_w") == 0, NAN).otherwise(F.col("_s") / F.when(F.col("_w") != 0, F.col("_w"))).alias("v"))
 
 
+def placed(patch: DataFrame, dims: list[str], starts: list[int]) -> DataFrame:
+    """A patch whose cells count from 0, moved to where its slice of the whole begins; a union of such is what stitch takes."""
+    return patch.withColumns({d: F.col(d) + F.lit(s) for d, s in zip(dims, starts, strict=True)})
+
+
+def region(stitched: DataFrame, dims: list[str], slices: list[tuple[int, int]]) -> DataFrame:
+    """The cells of a slice of what was stitched, counted from the slice's beginning."""
+    for d, (low, high) in zip(dims, slices, strict=True):
+        stitched = stitched.where((F.col(d) >= low) & (F.col(d) < high)).withColumn(d, F.col(d) - F.lit(low))
+    return stitched
+
+
 def stitch_grid(patches: DataFrame, shape: tuple[int, ...], value: str = "v", weight=None, nan_policy: str = "omit") -> DataFrame:
     """stitch over a whole grid with dims d0, d1, ...; cells without a patch are NaN."""
     from arrayloom.operators.tensor import Tensor

@@ -316,6 +316,16 @@ def stitch_nan_omit(spark, sf_dir):
     return rounded(slider.stitch_grid(_patches(spark, sf_dir), (11,)), ["v"])
 
 
+@query("stitch_placed", "WITH p AS (SELECT o.range * 7 + n_nationkey AS d0, n_nationkey * n_regionkey * 1.0::DOUBLE AS v FROM nation, range(0, 4) o) SELECT d0 - 5 AS d0, round(avg(v), 6) AS v FROM p WHERE d0 >= 5 AND d0 < 40 GROUP BY 1")
+def stitch_placed(spark, sf_dir):
+    """One patch added at four places; a region of the average."""
+    from functools import reduce
+
+    patch = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("d0"), (F.col("n_nationkey") * F.col("n_regionkey")).cast("double").alias("v"))
+    patches = reduce(lambda a, b: a.unionByName(b), [slider.placed(patch, ["d0"], [7 * k]) for k in range(4)])
+    return rounded(slider.region(slider.stitch(patches, ["d0"]), ["d0"], [(5, 40)]), ["v"])
+
+
 @query("stitch_nan_propagate", f"WITH {_PATCH} SELECT d0, round(CASE WHEN bool_or(isnan(x)) THEN 'nan'::DOUBLE ELSE avg(x) END, 6) AS v FROM p GROUP BY 1")
 def stitch_nan_propagate(spark, sf_dir):
     return rounded(slider.stitch(_patches(spark, sf_dir), ["d0"], nan_policy="propagate"), ["v"])

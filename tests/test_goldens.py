@@ -11,7 +11,7 @@ from arrayloom.functions import distributions as D
 from arrayloom.functions import elementwise as E
 from arrayloom.functions import random as N
 from arrayloom.functions import rows as R
-from arrayloom.operators import assign, cover, groups, robust, slices, slider, stats, topk
+from arrayloom.operators import arrays, assign, cover, groups, robust, slices, slider, stats, topk
 from arrayloom.operators import tensor as T
 from arrayloom.operators.frame import Frame
 from arrayloom.operators.tensor import Tensor
@@ -307,3 +307,118 @@ def test_plans_push_down(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 30")
     plan = stats.running(df, "l_extendedprice", by=["l_returnflag"])._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,30.0)]" in plan and "l_comment" not in plan and "Python" not in plan
+
+
+def test_padding_modes_as_numpy_has_them(spark):
+    data = np.array([3.0, 1.0, 4.0, 1.5, 9.0])
+    df = spark.createDataFrame([(i, float(x), 5) for i, x in enumerate(data)], "pos long, v double, n int")
+    for mode in ("edge", "reflect", "symmetric", "wrap", "mean", "maximum", "minimum", "median"):
+        want = np.pad(data, (3, 4), mode=mode).tolist()
+        got = [v for _, v in values(slices.padded_slice(df, "pos", "v", -3, 9, mode=mode, size="n"), "pos", "v")]
+        assert got == pytest.approx(want), mode
+        if mode != "median":
+            row = spark.range(1).select(R.pad(F.array(*map(F.lit, data.tolist())), 3, 4, mode).alias("a")).first()
+            assert row.a == pytest.approx(want), mode
+    for mode in ("edge", "reflect", "symmetric", "wrap"):
+        x = np.arange(6.0).reshape(2, 3)
+        assert Tensor.from_numpy(spark, x).pad([(1, 2), (2, 1)], mode=mode).numpy().tolist() == np.pad(x, [(1, 2), (2, 1)], mode=mode).tolist(), mode
+    with pytest.raises(ValueError):
+        slices.padded_slice(df, "pos", "v", -3, 9, mode="linear_ramp", size="n")
+    with pytest.raises(ValueError):
+        slices.padded_slice(df, "pos", "v", -3, 9, mode="edge")
+
+
+def test_tensors_with_absent_cells_differ(spark):
+    a = Tensor(spark.createDataFrame([(0, 1.0), (1, 2.0)], "d0 long, v double"), (3,))
+    b = Tensor(spark.createDataFrame([(0, 1.0), (2, 2.0)], "d0 long, v double"), (3,))
+    nan = Tensor(spark.createDataFrame([(0, float("nan"))], "d0 long, v double"), (1,))
+    assert a.array_equal(a) and not a.array_equal(b) and not b.array_equal(a)
+    assert not nan.array_equal(nan) and nan.array_equal(nan, equal_nan=True)
+
+
+def test_products_of_any_rank(spark):
+    rng = np.random.default_rng(1)
+    for x, y in (((2, 3, 4), (2, 4, 5)), ((2, 3, 4), (4, 5)), ((3, 4), (2, 4, 5)), ((4,), (4, 3)), ((3, 4), (4,)), ((4,), (4,))):
+        a, b = rng.integers(0, 9, x).astype(float), rng.integers(0, 9, y).astype(float)
+        assert Tensor.from_numpy(spark, a).matmul(Tensor.from_numpy(spark, b)).numpy().tolist() == (a @ b).tolist()
+
+
+def test_negative_positions(spark):
+    f = Frame.make(spark, {"x": [10, 11, 12, 13]})
+    assert [r.x for r in f.iloc(-1).collect()] == [13] and f.iloc(-9).count() == 0
+    assert sorted(r.x for r in f.iloc(slice(-3, None)).collect()) == [11, 12, 13] and sorted(r.x for r in f.iloc(slice(-9, -2)).collect()) == [10, 11]
+    assert values(f.take([-1, 0, -4]).df, "pos", "x") == [(0, 13), (1, 10), (2, 10)]
+
+
+def test_the_session_seed(spark):
+    ids = spark.range(20)
+    N.seed_global(spark, "abc")
+    try:
+        assert ids.select(N.uniform("id")).collect() == ids.select(N.uniform("id", seed=N.ensure_seed("abc"))).collect() != ids.select(N.uniform("id", seed=1)).collect()
+        assert ids.select(D.Normal(0, 1).sample("id")).collect() == ids.select(D.Normal(0, 1).sample("id", N.ensure_seed("abc"))).collect()
+    finally:
+        spark.conf.unset("arrayloom.seed")
+
+
+def test_sparse_draws(spark):
+    items = spark.range(1000).withColumnRenamed("id", "x")
+    got = [tuple(r) for r in N.random_combinations(items, "x", 3, 200, seed=5).collect()]
+    assert len(set(got)) == 200 and all(a < b < c for a, b, c in got)
+    drawn = [tuple(r) for r in N.random_product(spark, [list(range(50))] * 3, 3000, seed=2).collect()]
+    assert len(set(drawn)) == 3000 and all(abs(np.mean([d[i] for d in drawn]) - 24.5) < 1 for i in range(3))
+
+
+def test_normal_quantiles(spark):
+    import statistics
+
+    p = [1e-12, 1e-5, 0.02, 0.075, 0.3, 0.5, 0.7, 0.93, 0.999999]
+    got = spark.createDataFrame([(x,) for x in p], "p double").select(D.normal_quantile(F.col("p")).alias("z")).collect()
+    assert [r.z for r in got] == pytest.approx([statistics.NormalDist().inv_cdf(x) for x in p], rel=1e-13, abs=1e-15)
+
+
+def test_exact_cover_of_many_sets(spark):
+    sets = {f"s{i:02}": [i, i + 1, 60] for i in range(50)}
+    df = spark.createDataFrame([(s, x) for s, xs in sets.items() for x in xs], "s string, x int")
+    found = cover.setcover(df, "s", "x", "exact")
+    assert len(found) == 26 and {x for s in found for x in sets[s]} == {x for xs in sets.values() for x in xs}
+    best = cover.setcover(spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 4)], "s string, x int"), "s", "x", "exact", weights={"a": 1, "b": 1, "c": 2}, max_weight=2)
+    assert best == ["a", "b"]
+
+
+def test_types_of_all_kinds():
+    assert T.spark_type("uint64") == "decimal(20,0)" and T.dtype_info("uint64")["max"] == 2**64 - 1
+    assert T.dtype_kind(T.spark_type("complex64")) == "c" and T.dtype_info("complex128")["bits"] == 128
+
+
+def test_one_name_for_either_form(spark):
+    data = [3.0, 1.0, 2.0]
+    t, c = arrays.coerce(spark, data), arrays.coerce(spark, data, like="column")
+    assert isinstance(t, Tensor) and arrays.coerce(spark, t) is t
+    assert arrays.call("argsort", t).numpy().tolist() == spark.range(1).select(arrays.call("argsort", c).alias("a")).first().a == [1, 2, 0]
+    assert float(arrays.call("maximum", t).numpy()) == spark.range(1).select(arrays.call("maximum", c).alias("a")).first().a == 3.0
+    with pytest.raises(TypeError):
+        arrays.impl(3)
+    with pytest.raises(AttributeError):
+        arrays.call("nothing", t)
+
+
+def test_empty_accumulators_raise(spark):
+    df = spark.createDataFrame([], "v double")
+    with pytest.raises(Exception, match="no data"):
+        stats.summary(stats.running(df, "v")).collect()
+
+
+def test_masks_and_units_of_more_axes(spark):
+    at = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "i long, j long")
+    got = Tensor(topk.boolmask(at, ["i", "j"], (3, 3)).withColumnRenamed("flag", "v"), (3, 3)).numpy()
+    assert got.tolist() == [[True, False, False], [False, True, False], [False, True, False]]
+    labels = Tensor.from_numpy(spark, [[0, 2], [1, -1]])
+    assert labels.one_hot(3, axis=1).numpy().tolist() == np.moveaxis(np.eye(3)[[[0, 2], [1, 2]]], -1, 1).tolist()
+
+
+def test_sequences_without_groups(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([1, 2, 3, 5, 6, 7, 8, 9, 10, 15, 99, 100, 101])], "pos long, v int").repartition(3)
+    runs = groups.group_consecutive_indices(df, "v", "pos")
+    assert values(runs, "first", "last", "n") == [(0, 2, 3), (3, 8, 6), (9, 9, 1), (10, 12, 3)]
+    bounds = groups.flat_bounds(spark.createDataFrame([(0, 1), (1, 0), (2, 3)], "o long, n long"), "o", "n")
+    assert values(bounds, "o", "start", "stop") == [(0, 0, 1), (1, 1, 1), (2, 1, 4)] and groups.flat_length(bounds).first().n == 4
