@@ -17,7 +17,8 @@ A large group isn't expanded into all pairs. First each class is compared with t
 one that shares most of its pairs with others); what that connects needs no more comparisons, since only components are
 wanted. What a list holds outside its largest component, and only that, then meets the rest of the list: collisions are
 counted in tasks of blocks of signatures, and those above the threshold in other components are confirmed, the best
-FIRST of each class at once, then more of those not connected yet, until nothing is left to compare.
+FIRST of each class at once, then more of those not connected yet, until nothing is left to compare. A full set goes once
+to each task that has pairs of it, so what is sent grows with the members of a list, not with its pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; one of fewer
 than k words has its words as one shingle; repeated rows are of one class and share a result (if their doc_id is the
@@ -42,7 +43,7 @@ from arrayloom.llm.words import U, grams, hashes, spans, stream, whole
 
 COORDINATES, AGREE, PER_GROUP = 64, 28, 128
 #: Signatures of a block and of the classes that meet it; candidates of a class that are confirmed at first, and then.
-BLOCK, PROBES, FIRST = 4096, 2048, (8, 128)
+BLOCK, PROBES, FIRST = 1024, 512, (8, 128)
 NULL_LAST = 2**63 - 1
 _A, _B = stream(21, COORDINATES) | U(1), stream(22, COORDINATES)
 
@@ -88,12 +89,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, sig = [], [], []
-            for s, digest in sets_of(batch.column(2), k):
-                n.append(len(s))
-                cls.append(digest)
-                sig.append(signature(s).view(np.int32).tolist() if digest else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["id", "key", "n", "class", "sig"])
+            for a, b in slices(batch.column(2), 2 << 20):
+                part, n, cls, sig = batch.slice(a, b - a), [], [], []
+                for s, digest in sets_of(part.column(2), k):
+                    n.append(len(s))
+                    cls.append(digest)
+                    sig.append(signature(s).view(np.int32).tolist() if digest else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["id", "key", "n", "class", "sig"])
 
     return _keyed(docs).mapInArrow(run, "id long, key binary, n long, class binary, sig array<int>")
 
@@ -123,42 +125,52 @@ def colliding(pairs: DataFrame, classes: DataFrame, percent: int, agree: int = A
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_fits(percent) & (agreed >= agree)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * shared shingles >= percent * all shingles, on full sets taken from the texts again.
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, str]:
+    """A staged table of the pairs (a, b) with 100 * shared shingles >= percent * all shingles, on full sets taken from the texts again.
 
-    Pairs are grouped by a, about PER_GROUP at a time; a set is sent once for each group that it is in.
+    pairs: a, b, and the task (g, h, i) that compares them; a set is sent once to each task that has a pair of it.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_GROUP).alias("parts"))
-    numbered = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-    wanted = numbered.select("a", "part", F.col("b").alias("node")).unionByName(numbered.select("a", "part", F.col("a").alias("node")).distinct())
-    wanted, _ = staged(wanted.join(classes.select("node", "id", "key"), "node"), "wanted")
+    task = ["g", "h", "i"]
+    wanted = pairs.select(*task, F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted, wanted_at = staged(wanted.join(classes.select("node", "id", "key"), "node"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [s.tobytes() for s, _ in sets_of(batch.column(3), k)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], binaries(data)], names=["a", "part", "node", "data"])
-
-    rows = _keyed(docs).join(small(wanted), ["id", "key"]).select("a", "part", "node", "text")
-
-    def compare(table: pa.Table) -> pa.Table:
-        a = table.column("a")[0].as_py()
-        data = dict(zip(table.column("node").to_pylist(), table.column("data").to_pylist(), strict=True))  # rows of an id and a text that repeat are equal
-        first = np.frombuffer(data.pop(a), U)
-        out = []
-        for node, packed in data.items():
-            second = np.frombuffer(packed, U)
+            for x, y in slices(batch.column(4), 2 << 20):
+                part = batch.slice(x, y - x)
+                data = [s.tobytes() for s, _ in sets_of(part.column(4), k)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], binaries(data)], names=[*task, "node", "data"])
+
+    rows = _keyed(docs).join(small(wanted), ["id", "key"]).select(*task, "node", "text")
+
+    def compare(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        found = dict(zip(sets.column("node").to_pylist(), sets.column("data"), strict=True))  # rows of an id and a text that repeat are equal
+        out, last, first = [], None, None
+        for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+            if a != last:
+                last, first = a, np.frombuffer(found[a].as_buffer(), U)
+            second = np.frombuffer(found[b].as_buffer(), U)
             at = np.minimum(np.searchsorted(first, second), len(first) - 1)
             shared = int((first[at] == second).sum())
             if 100 * shared >= percent * (len(first) + len(second) - shared):
-                out.append(node)
-        return pa.table([pa.array([a] * len(out), pa.int64()), pa.array(out, pa.int64())], names=["a", "b"])
+                out.append((a, b))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = rows.mapInArrow(run, "a long, part int, node long, data binary")
-    return sets.groupBy("a", "part").applyInArrow(compare, "a long, b long")
+    sets = rows.mapInArrow(run, "g long, h long, i long, node long, data binary")
+    links, links_at = staged(sets.groupBy(*task).cogroup(pairs.select("a", "b", *task).groupBy(*task)).applyInArrow(compare, "a long, b long"), "links")
+    dropped(docs.sparkSession, wanted_at)
+    return links, links_at
+
+
+def star_tasks(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with tasks of about PER_GROUP pairs of one a."""
+    parts, _ = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_GROUP).alias("parts")), "parts")
+    return pairs.join(parts, "a").select("a", "b", F.col("a").alias("g"), F.pmod(F.xxhash64("b"), "parts").cast("long").alias("h"), F.lit(0).cast("long").alias("i"))
 
 
 def outside_pairs(members: DataFrame, classes: DataFrame, percent: int, agree: int) -> DataFrame:
-    """a, b, agreed: classes of different groups in one list (lead), one of them outside the list's largest group, that collide often enough.
+    """a, b, agreed: classes of different groups in one list (lead), one of them outside the list's largest group, that collide often enough; g, h, i: the task that met them.
 
     members: lead, node, group. A task has a block of a list's signatures and some of those outside; blocks and shares
     are dealt by hash, so no task has more than about BLOCK and PROBES of them.
@@ -190,10 +202,11 @@ def outside_pairs(members: DataFrame, classes: DataFrame, percent: int, agree: i
             i, j = np.nonzero(right)
             found.append((node[some[i]], node[y[j]], agreed[i, j].astype(np.int32)))
         a, b, c = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        return pa.table([a, b, c], names=["a", "b", "agreed"])
+        task = [np.full(len(a), table.column(t)[0].as_py(), np.int64) for t in ("lead", "block", "share")]
+        return pa.table([a, b, c, *task], names=["a", "b", "agreed", "g", "h", "i"])
 
-    met = listed.unionByName(probes).groupBy("lead", "block", "share").applyInArrow(collide, "a long, b long, agreed int")
-    return met.distinct()
+    met = listed.unionByName(probes).groupBy("lead", "block", "share").applyInArrow(collide, "a long, b long, agreed int, g long, h long, i long")
+    return met.groupBy("a", "b").agg(F.first("agreed").alias("agreed"), F.min(F.struct("g", "h", "i")).alias("task")).select("a", "b", "agreed", "task.*")
 
 
 def _joined_up(links: DataFrame, path: str, led: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, agree: int) -> DataFrame:
@@ -208,11 +221,11 @@ def _joined_up(links: DataFrame, path: str, led: DataFrame, classes: DataFrame,
         now = pairs
         if most is not None:
             now = pairs.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agreed"), "b"))).where(F.col("place") <= most)
-        now, now_at = staged(now.select("a", "b"), "now")
-        more, more_at = staged(confirmed(now, classes, docs, k, percent), "more")
+        now, now_at = staged(now.drop("place"), "now")
+        more, more_at = confirmed(now, classes, docs, k, percent)
         links, links_at = staged(links.unionByName(more), "links")
         groups = components(links)
-        left = grouped(grouped(pairs, "a", "group_a"), "b", "group_b").where("group_a <> group_b").select("a", "b", "agreed")
+        left = grouped(grouped(pairs, "a", "group_a"), "b", "group_b").where("group_a <> group_b").select("a", "b", "agreed", "g", "h", "i")
         left, left_at = staged(left.join(now, ["a", "b"], "left_anti"), "outside")
         for old in (path, at, now_at, more_at):
             dropped(spark, old)
@@ -243,8 +256,10 @@ def _judged(docs: DataFrame, k: int, percent: int, agree: int) -> DataFrame:
     stars = led.where("lead <> node").groupBy(F.least("lead", "node").alias("x"), F.greatest("lead", "node").alias("y")).agg(F.min("lead").alias("a"))
     stars = stars.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
     stars, at = staged(colliding(stars, classes, percent, agree), "stars")
-    links, links_at = staged(confirmed(stars, classes, docs, k, percent), "links")
+    tasks, tasks_at = staged(star_tasks(stars), "tasks")
     dropped(spark, at)
+    links, links_at = confirmed(tasks, classes, docs, k, percent)
+    dropped(spark, tasks_at)
     groups = _joined_up(links, links_at, led, classes, docs, k, percent, agree)
     dropped(spark, led_at)
     member = classes.select("node", "class", "id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
