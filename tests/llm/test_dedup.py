@@ -235,8 +235,8 @@ def test_removals_lose_no_text(spark):
     """Rows that repeat, ids with several texts, null ids, and columns with the names that the operators use."""
     rng = random.Random(40)
     text = lambda n: " ".join(f"u{rng.randrange(10**7)}" for _ in range(n))
-    a, b, c, d, e = text(100), text(80), text(60), text(50), text(20)
-    rows = [(3, b), (5, a), (5, b), (1, a), (1, a), (None, c), (None, c), (None, d), (7, d), (8, None), (8, None), (9, e), (9, e), (None, e), (10, b + " " + e)]
+    a, b, c, d, e, long = text(100), text(80), text(60), text(50), text(20), text(30_000)
+    rows = [(3, b), (5, a), (5, b), (1, a), (1, a), (None, c), (None, c), (None, d), (7, d), (8, None), (8, None), (9, e), (9, e), (None, e), (10, b + " " + e), (11, long), (12, long + " end")]
     extra = "doc_id long, text string, id long, key string, cuts int, gone boolean, several int, row int, doc string, _cut_id int, class string, node int, n_chars long"
     df = spark.createDataFrame([(i, t, 1, "k", 2, True, 3, n, "x", 4, "c", 5, 0) for n, (i, t) in enumerate(rows)], extra).repartition(3)
     for kept in (near.duplicates_removed(df, 5, 80), passages.passages_removed(df)):

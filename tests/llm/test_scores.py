@@ -136,7 +136,7 @@ def toxic_corpus(n=900, seed=4):
 
 def test_toxicity_on_held_out_rows(spark):
     rows = toxic_corpus()
-    docs = spark.createDataFrame([(i, t, "zz") for i, t, _ in rows] + [(5000, None, "zz"), (5001, "", "zz"), (None, "some text", "zz"), (3, rows[3][1], "zz")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(i, t, "zz") for i, t, _ in rows] + [(5000, None, "zz"), (5001, "", "zz"), (None, "some text", "zz"), (3, rows[3][1], "zz"), (7, "another text of this id", "zz"), (5002, "the an " * 100_000, "zz")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, 1, b) for i, _, b in rows] + [(0, 1, 1), (8, 1, 0), (None, 1, 1), (12, 1, None), (16, 1, 7)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, labels, steps=60, again=20)
     scored = toxicity.score(docs, model).collect()
@@ -185,8 +185,9 @@ def test_language_model(spark, known):
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert brown.score(df.limit(0)).count() == 0
-    lone = brown.score(df.where("doc_id % 300 = 10000")).collect()
-    assert lone == []
+    ids = [i for i in range(500) if held(i)][:4]
+    untrained = brown.score(spark.createDataFrame([(i, "some words " * i) for i in ids], "doc_id long, text string")).collect()
+    assert {(r.held_out, r.n_known, r.train_tokens) for r in untrained} == {(True, 0, 0)} and all(math.isfinite(r.score) for r in untrained)
 
 
 def test_scores_against_brute_force(spark):
@@ -196,6 +197,8 @@ def test_scores_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     parameters = {"classes": 7, "head": 10, "known": 40}
     vocab = brown.vocabulary(df).cache()
+    top = brown.most_frequent(vocab, 40).collect()
+    assert 0 < len(top) <= 40 and min(r.n for r in top) > max((r.n for r in vocab.collect() if r.word not in {t.word for t in top}), default=0)
     m = brown.fit(df, vocab, **parameters)
     column = pa.array([t for _, t in rows])
     t = brown.tokens_of(column)
