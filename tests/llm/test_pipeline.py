@@ -133,7 +133,7 @@ def test_run_against_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     tokenizer = __import__("tokenizers").Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     ids = sorted((d is None, d or 0, [*tokenizer.encode(t, add_special_tokens=False).ids, 0]) for d, t in want)
-    assert len(ids) == 48 - 6 + 1 and got.length.sum() == sum(len(x) for *_, x in ids)
+    assert len(ids) == 54 - 4 - 5 and got.length.sum() == sum(len(x) for *_, x in ids)
     for none, d, x in ids:
         pieces = got[got.doc_id.isna()] if none else got[got.doc_id == d]
         pieces = pieces[pieces.doc_tokens == len(x)].sort_values("start")
