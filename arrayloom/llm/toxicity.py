@@ -241,7 +241,7 @@ def fold(doc_id: str = "doc_id", of: int = 4):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % of
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_class: int = 2000, most_bytes: int = 32 << 20) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_class: int = 2000, most_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, text, label, prevalence (the share of toxic labels): whole texts, none of the held-out fold.
 
     Of either class at most per_class documents, in order of the hashes of their ids, and of these the texts that fit
@@ -257,7 +257,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_c
     return rows.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "text", "label", F.lit(prevalence).cast("double").alias("prevalence"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_class: int = 2000, most_bytes: int = 32 << 20, **more) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, per_class: int = 2000, most_bytes: int = 16 << 20, **more) -> Model:
     """Train on training_sample, in one task of an executor; the driver gets the model alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
