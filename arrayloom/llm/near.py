@@ -15,10 +15,9 @@ their full sets.
 
 A large group isn't expanded into all pairs. First each class is compared with the most typical class of its lists (the
 one that shares most of its pairs with others); what that connects needs no more comparisons, since only components are
-wanted. What a list holds outside its largest component, and only that, then meets the rest of the list: collisions are
-counted in tasks of blocks of signatures, and those above the threshold in other components are confirmed, the best
-FIRST of each class at once, then more of those not connected yet, until nothing is left to compare. A full set goes once
-to each task that has pairs of it, so what is sent grows with the members of a list, not with its pairs.
+wanted. What a list holds outside its largest component, and only that, then meets the rest of the list in tasks of
+blocks: collisions are counted, and those above the threshold in other components are confirmed on the full sets, which
+go once to each task; a task returns links that join components, no pairs. What is sent grows with the members of a list.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; one of fewer
 than k words has its words as one shingle; repeated rows are of one class and share a result (if their doc_id is the
@@ -42,8 +41,8 @@ from arrayloom.llm.components import components
 from arrayloom.llm.words import U, grams, hashes, spans, stream, whole
 
 COORDINATES, AGREE, PER_GROUP = 64, 28, 128
-#: Signatures of a block and of the classes that meet it; candidates of a class that are confirmed at first, and then.
-BLOCK, PROBES, FIRST = 1024, 512, (8, 128)
+#: Classes of a list's block, and of those outside its largest component that meet it in a task.
+BLOCK, PROBES = 1024, 512
 NULL_LAST = 2**63 - 1
 _A, _B = stream(21, COORDINATES) | U(1), stream(22, COORDINATES)
 
@@ -169,69 +168,126 @@ def star_tasks(pairs: DataFrame) -> DataFrame:
     return pairs.join(parts, "a").select("a", "b", F.col("a").alias("g"), F.pmod(F.xxhash64("b"), "parts").cast("long").alias("h"), F.lit(0).cast("long").alias("i"))
 
 
-def outside_pairs(members: DataFrame, classes: DataFrame, percent: int, agree: int) -> DataFrame:
-    """a, b, agreed: classes of different groups in one list (lead), one of them outside the list's largest group, that collide often enough; g, h, i: the task that met them.
+def agreements(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many coordinates each two signatures agree."""
+    out = np.zeros((len(some), len(others)), np.uint8)
+    for c in range(COORDINATES):
+        out += some[:, c][:, None] == others[:, c][None, :]
+    return out
+
 
-    members: lead, node, group. A task has a block of a list's signatures and some of those outside; blocks and shares
-    are dealt by hash, so no task has more than about BLOCK and PROBES of them.
+class Task:
+    """A block of a list and some of the classes outside its largest group: signatures, sizes, groups, and who probes whom."""
+
+    def __init__(self, table: pa.Table, percent: int, agree: int) -> None:
+        self.node, self.group, self.n, probe, self.outside = (table.column(c).to_numpy() for c in ("node", "group", "n", "probe", "outside"))
+        self.sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(table), COORDINATES)
+        self.percent, self.agree = percent, agree
+        self.x, self.y = np.flatnonzero(probe), np.flatnonzero(~probe & (self.node != table.column("g")[0].as_py()))  # the lead has met all
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some of x, and which of y collide with each often enough, are of another group and of a fitting size."""
+        y = self.y
+        for a in range(0, len(self.x), 128):
+            x = self.x[a : a + 128]
+            low, high = np.minimum(self.n[x][:, None], self.n[y][None, :]), np.maximum(self.n[x][:, None], self.n[y][None, :])
+            right = (agreements(self.sig[x], self.sig[y]) >= self.agree) & (self.group[x][:, None] != self.group[y][None, :]) & (100 * low >= self.percent * high)
+            yield x, right & (~self.outside[y][None, :] | (self.node[x][:, None] < self.node[y][None, :]))  # of two outside, one order
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links that join groups, found on full sets: shared elements of a probe with all others are counted at once."""
+        y = self.y
+        element = np.concatenate([sets[j] for j in y]) if len(y) else np.zeros(0, U)
+        owner = np.repeat(np.arange(len(y)), [len(sets[j]) for j in y])
+        order = np.argsort(element, kind="stable")
+        element, owner = element[order], owner[order]
+        head: dict[int, int] = {}
+
+        def find(g: int) -> int:
+            while head.get(g, g) != g:
+                g = head[g]
+            return g
+
+        out = []
+        for some, right in self.candidates():
+            for i, fit in zip(some.tolist(), right, strict=True):
+                if not fit.any():
+                    continue
+                low, high = np.searchsorted(element, sets[i], "left"), np.searchsorted(element, sets[i], "right")
+                n = high - low
+                at = np.repeat(high - np.cumsum(n), n) + np.arange(int(n.sum()))
+                shared = np.bincount(owner[at], minlength=len(y))
+                similar = np.flatnonzero(fit & (100 * shared >= self.percent * (self.n[i] + self.n[y] - shared)))
+                _, first = np.unique(self.group[y[similar]], return_index=True)
+                for j in y[similar[first]].tolist():
+                    g, h = find(int(self.group[i])), find(int(self.group[j]))
+                    if g != h:
+                        head[h] = g
+                        out.append((int(self.node[i]), int(self.node[j])))
+        return out
+
+
+def outside_links(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, agree: int) -> tuple[DataFrame, str]:
+    """A staged table of links (a, b) between groups, of classes in one list, one of them outside the list's largest group.
+
+    members: lead, node, group. A task has a block of a list's classes and some of those outside; blocks and shares are
+    dealt by hash, so no task has more than about BLOCK and PROBES of them. A first pass over signatures says which
+    classes have candidates; the full sets of these alone go to the tasks. Tasks return links that join groups, no pairs.
     """
     groups = members.groupBy("lead", "group").agg(F.count("*").alias("n"))
     lists = groups.groupBy("lead").agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("groups")).where("groups > 1")
     lists = lists.select("lead", F.col("most.group").alias("main"), F.ceil(F.col("total") / BLOCK).alias("blocks"), F.ceil((F.col("total") - F.col("most.n")) / PROBES).alias("shares"))
+    lists, lists_at = staged(lists, "lists")
     held = members.join(lists, "lead").join(classes.select("node", "n", "sig"), "node").withColumn("outside", F.col("group") != F.col("main"))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ("lead", "node", "group", "n", "sig", "outside")
-    listed = held.select(*columns, F.pmod(F.xxhash64("node"), "blocks").alias("block"), spread("shares").alias("share"), F.lit(False).alias("probe"))
-    probes = held.where("outside").select(*columns, spread("blocks").alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), "shares").alias("share"), F.lit(True).alias("probe"))
-
-    def collide(table: pa.Table) -> pa.Table:
-        probe, outside = (table.column(c).to_numpy() for c in ("probe", "outside"))
-        node, group, n = (table.column(c).to_numpy() for c in ("node", "group", "n"))
-        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(table), COORDINATES)
-        lead = table.column("lead")[0].as_py()
-        x, y = np.flatnonzero(probe), np.flatnonzero(~probe & (node != lead))  # the lead has met all
-        found = []
-        for a in range(0, len(x), 256):
-            some = x[a : a + 256]
-            agreed = np.zeros((len(some), len(y)), np.uint8)
-            for c in range(COORDINATES):
-                agreed += sig[some, c][:, None] == sig[y, c][None, :]
-            low, high = np.minimum(n[some][:, None], n[y][None, :]), np.maximum(n[some][:, None], n[y][None, :])
-            right = (agreed >= agree) & (group[some][:, None] != group[y][None, :]) & (100 * low >= percent * high)
-            right &= ~outside[y][None, :] | (node[some][:, None] < node[y][None, :])  # of two outside, one order
-            i, j = np.nonzero(right)
-            found.append((node[some[i]], node[y[j]], agreed[i, j].astype(np.int32)))
-        a, b, c = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        task = [np.full(len(a), table.column(t)[0].as_py(), np.int64) for t in ("lead", "block", "share")]
-        return pa.table([a, b, c, *task], names=["a", "b", "agreed", "g", "h", "i"])
-
-    met = listed.unionByName(probes).groupBy("lead", "block", "share").applyInArrow(collide, "a long, b long, agreed int, g long, h long, i long")
-    return met.groupBy("a", "b").agg(F.first("agreed").alias("agreed"), F.min(F.struct("g", "h", "i")).alias("task")).select("a", "b", "agreed", "task.*")
+    columns = (F.col("lead").alias("g"), "node", "group", "n", "sig", "outside")
+    listed = held.select(*columns, F.pmod(F.xxhash64("node"), "blocks").alias("h"), spread("shares").alias("i"), F.lit(False).alias("probe"))
+    probes = held.where("outside").select(*columns, spread("blocks").alias("h"), F.pmod(F.xxhash64("node", F.lit(1)), "shares").alias("i"), F.lit(True).alias("probe"))
+    task, kept = ["g", "h", "i"], "g long, h long, i long, node long, group long, n long, sig array<int>, outside boolean, probe boolean"
+    names = [x.split()[0] for x in kept.split(", ")]
+
+    def busy(table: pa.Table) -> pa.Table:
+        this = Task(table, percent, agree)
+        stay = np.zeros(len(table), bool)
+        for x, right in this.candidates():
+            stay[x] |= right.any(axis=1)
+            stay[this.y] |= right.any(axis=0)
+        return table.select(names).filter(pa.array(stay))
+
+    wanted = listed.unionByName(probes).groupBy(*task).applyInArrow(busy, kept)
+    wanted, wanted_at = staged(wanted.join(classes.select("node", "id", "key"), "node"), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(len(names)), 2 << 20):
+                part = batch.slice(a, b - a)
+                data = [s.tobytes() for s, _ in sets_of(part.column(len(names)), k)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], binaries(data)], names=[*names, "data"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        keys = table.select(["node", "probe"]).to_pandas()
+        table = table.filter(pa.array(~keys.duplicated().to_numpy())).combine_chunks()  # rows of an id and a text that repeat are equal
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("data")]
+        found = Task(table, percent, agree).links(sets)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = _keyed(docs).join(small(wanted), ["id", "key"]).select(*names, "text").mapInArrow(run, f"{kept}, data binary")
+    links, at = staged(rows.groupBy(*task).applyInArrow(compare, "a long, b long"), "links")
+    for old in (wanted_at, lists_at):
+        dropped(docs.sparkSession, old)
+    return links, at
 
 
 def _joined_up(links: DataFrame, path: str, led: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, agree: int) -> DataFrame:
     """The components of links and of what lists hold beyond them."""
-    spark = docs.sparkSession
     groups = components(links)
-    grouped = lambda df, node, name: df.join(groups.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    pairs, at = staged(outside_pairs(grouped(led, "node", "group"), classes, percent, agree), "outside")
-    for most in (*FIRST, None):
-        if not pairs.limit(1).count():
-            break
-        now = pairs
-        if most is not None:
-            now = pairs.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agreed"), "b"))).where(F.col("place") <= most)
-        now, now_at = staged(now.drop("place"), "now")
-        more, more_at = confirmed(now, classes, docs, k, percent)
-        links, links_at = staged(links.unionByName(more), "links")
-        groups = components(links)
-        left = grouped(grouped(pairs, "a", "group_a"), "b", "group_b").where("group_a <> group_b").select("a", "b", "agreed", "g", "h", "i")
-        left, left_at = staged(left.join(now, ["a", "b"], "left_anti"), "outside")
-        for old in (path, at, now_at, more_at):
-            dropped(spark, old)
-        pairs, at, path = left, left_at, links_at
-    dropped(spark, at)
-    dropped(spark, path)
+    members = led.join(groups.select("node", F.col("component").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    more, more_at = outside_links(members, classes, docs, k, percent, agree)
+    if more.limit(1).count():
+        groups = components(links.unionByName(more))
+    for old in (path, more_at):
+        dropped(docs.sparkSession, old)
     return groups
 
 
