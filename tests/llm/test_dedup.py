@@ -217,7 +217,6 @@ def test_what_a_list_holds_outside_its_largest_component(spark, monkeypatch):
     """Two families that share coordinates, and small blocks: links beyond the typical class are found by collisions."""
     monkeypatch.setattr(near, "BLOCK", 16)
     monkeypatch.setattr(near, "PROBES", 8)
-    monkeypatch.setattr(near, "FIRST", (1, 2))
     rng = random.Random(12)
     base = [f"b{i}" for i in range(150)]
     rows = []
