@@ -58,11 +58,11 @@ def _assigned(edges: DataFrame, problem: list[str], i: str, j: str, weight: str,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, columns = sorted(pdf[i].unique()), sorted(pdf[j].unique())
-        m = np.full((len(rows), len(columns)), np.inf)
+        m = np.full((len(rows), len(columns)), np.inf if sign > 0 else 0.0)  # by value a pair more is no aim
         value = sign * pdf[weight].to_numpy(float)
         usable = value < 0 if sign < 0 else np.ones(len(value), bool)
         m[np.searchsorted(rows, pdf[i].to_numpy()[usable]), np.searchsorted(columns, pdf[j].to_numpy()[usable])] = value[usable]
-        found = mincost(m)
+        found = [(a, b) for a, b in mincost(m) if sign > 0 or m[a, b] < 0]
         out = pd.DataFrame({i: [rows[a] for a, _ in found], j: [columns[b] for _, b in found], weight: [sign * m[a, b] for a, b in found]})
         for p in problem:
             out[p] = pdf[p].iloc[0]
@@ -78,7 +78,7 @@ def mincost_assignment(edges: DataFrame, problem: list[str], i: str, j: str, cos
 
 
 def maxvalue_assignment(edges: DataFrame, problem: list[str], i: str, j: str, value: str) -> DataFrame:
-    """The pairs of greatest total value of each problem; values of 0 or less aren't assigned."""
+    """The pairs of greatest total value of each problem, however few; values of 0 or less aren't assigned."""
     return _assigned(edges, problem, i, j, value, -1)
 
 

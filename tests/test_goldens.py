@@ -162,6 +162,21 @@ def test_assignment_frames(spark):
     assert sum(c for _, _, c in top) == 12.0 and all(c > 0 for _, _, c in top)
 
 
+def test_assignment_by_value_prefers_value_to_pairs(spark):
+    inf = np.inf
+    worth = {0: [[10, 1], [1, 0]], 1: [[9, 2, 1, 3], [4, 1, 5, 5], [9, 9, 2, 4], [-1, -1, -1, -1]], 2: [[inf]], 3: [[0]], 4: [[8, 3, -1], [3, -2, -5]]}
+    edges = spark.createDataFrame([(p, i, j, float(v)) for p, m in worth.items() for i, r in enumerate(m) for j, v in enumerate(r)], "p int, i int, j int, v double")
+    found = assign.maxvalue_assignment(edges, ["p"], "i", "j", "v").collect()
+    assert all(r.v > 0 for r in found)
+    assert {p: sum(r.v for r in found if r.p == p) for p in worth} == {0: 10.0, 1: 23.0, 2: inf, 3: 0, 4: 8.0}
+    rng = np.random.default_rng(9)
+    for shape in [(2, 3), (4, 4), (5, 3)] * 4:
+        m = np.round(rng.normal(size=shape) * 10)
+        edges = spark.createDataFrame([(0, i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "p int, i int, j int, v double").coalesce(1)
+        total = sum(r.v for r in assign.maxvalue_assignment(edges, ["p"], "i", "j", "v").collect())
+        assert total == pytest.approx(-best_by_brute_force(-np.maximum(m, 0)))
+
+
 def test_windows():
     w = slider.SlidingWindow((10, 10), (5, 5))
     assert [tuple((s.start, s.stop) for s in x) for x in w] == [((0, 5), (0, 5)), ((0, 5), (5, 10)), ((5, 10), (0, 5)), ((5, 10), (5, 10))]
