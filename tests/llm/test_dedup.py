@@ -250,6 +250,32 @@ def test_removals_lose_no_text(spark):
     assert sorted(t for _, t in cut if t in (a, b, c, d)) == sorted([a, b, c, d]) and sum(t == e for _, t in cut) == 4 and (1, a) in cut and (3, b) in cut
 
 
+def test_places_of_repeated_words_are_merged():
+    """What is left covers the same words from the same source places, and a long run of one word needs few of its places."""
+    rng = random.Random(8)
+    for _ in range(600):
+        pb, pa, x = [], [], rng.choice([0, 7, 100])
+        for _ in range(rng.choice([1, 20, 300])):
+            n, t = rng.choice([1, 1, 3, 10]), rng.choice([0, 0, 5])
+            pb, pa, x = pb + list(range(x, x + n)), pa + list(range(t, t + n)), x + n + (rng.random() < 0.02) * rng.choice([3, 40, 100])
+        b, a = np.array(pb), np.array(pa)
+        keep = passages.needed(b, a, 40)
+        assert {y for p in b[keep].tolist() for y in range(p, p + 40)} == {y for p in pb for y in range(p, p + 40)} and set(a[keep]) == set(pa)
+    one = np.arange(900)
+    assert passages.needed(one + 200, one * 0, 40).sum() < 130 and passages.needed(one, one + 7, 40).all()
+
+
+def test_equal_words_beside_words_that_agree_by_half(spark):
+    """40 equal words are a passage also where an alignment goes on into words of which only some agree."""
+    rng = random.Random(6)
+    word = lambda: f"h{rng.randrange(10**7)}"
+    core, beside = [word() for _ in range(40)], [word() for _ in range(40)]
+    other = [w if i % 5 not in (1, 3) else word() for i, w in enumerate(beside)]
+    rows = [(1, " ".join(beside + core + beside)), (2, " ".join(other + core + other)), (3, " ".join(word() for _ in range(90)))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in found} == {(2, 1)} and any(r.start <= 40 and r.end >= 80 for r in found)
+
+
 def test_passages_against_brute_force(spark):
     """All pairs of some hundred documents: every run of 40 equal words of an earlier document is found, and what is found agrees."""
     rng = random.Random(77)
