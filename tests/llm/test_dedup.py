@@ -250,6 +250,24 @@ def test_removals_lose_no_text(spark):
     assert sorted(t for _, t in cut if t in (a, b, c, d)) == sorted([a, b, c, d]) and sum(t == e for _, t in cut) == 4 and (1, a) in cut and (3, b) in cut
 
 
+def test_rough_passages_whose_seeds_stand_in_documents_before_and_between(spark):
+    """The only earlier document that holds a passage, roughly, is neither first nor previous holder of any of its seeds."""
+    rng = random.Random(15)
+    word = lambda: f"m{rng.randrange(10**7)}"
+    passage = [word() for _ in range(60)]
+    rough = [word() if i % 8 == 7 else w for i, w in enumerate(passage)]
+    runs = [passage[i : i + 7] for i in range(0, 60, 8)]
+    apart = [[word() for _ in range(60)] + r + [word() for _ in range(60)] for r in runs if len(r) >= 5]
+    docs = apart + [[word() for _ in range(50)] + rough + [word() for _ in range(50)]] + apart[::-1] + [[word() for _ in range(30)] + passage + [word() for _ in range(70)]]
+    docs = [d + [word()] for d in docs]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    found = {(r.doc_id, r.source_doc_id): (r.start, r.end) for r in passages.repeated_passages(df).collect()}
+    b, a = len(docs) - 1, len(apart)
+    assert (b, a) in found and found[b, a][0] <= 30 and found[b, a][1] >= 89
+    cut = {r.doc_id: r.text.split() for r in passages.passages_removed(df).collect()}
+    assert not set(passage[:59]) & set(cut[b]) and set(cut[a]) == set(docs[a])
+
+
 def test_places_of_repeated_words_are_merged():
     """What is left covers the same words from the same source places, and a long run of one word needs few of its places."""
     rng = random.Random(8)
