@@ -1,10 +1,13 @@
 """Near duplicates and repeated passages against brute force."""
 
+import collections
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from arrayloom.llm import components, near, passages
 
@@ -328,3 +331,37 @@ def test_passages_against_brute_force(spark):
         for run, _ in runs:
             first.setdefault(run, i)
     assert missed == 0 and sum(map(bool, covered)) > 60
+
+
+def test_open_pairs_of_one_document_go_no_further():
+    """Of pairs of seeds, those that no other document holds, or that are open nowhere, aren't marked; all others are."""
+    rng = np.random.default_rng(7)
+    phrases = rng.integers(0, 2**32, (200, 6), np.uint32)
+    bits = lambda x: zstandard.ZstdCompressor().compress(np.packbits(x).tobytes())
+    batches, holders, opened = [], collections.defaultdict(set), set()
+    for number in range(4):
+        docs = [np.concatenate([np.append(phrases[p], rng.integers(0, 2**32, 5, np.uint32)) for p in rng.integers(0, 200, 6)]) for _ in range(15)]
+        docs[0][:30] = docs[0][30:60] if number else docs[0][:30]
+        sizes = np.array([len(d) for d in docs], np.int32)
+        this = passages.Batch(number, np.arange(15).tobytes(), sizes.tobytes(), np.concatenate(docs).astype("<u4").tobytes(), raw=True)
+        repeats = np.tile([1, 1] + [0] * 9, 15 * 6).astype(bool)
+        found = passages.Open(this, bits(repeats), bits(repeats & (np.arange(len(repeats)) % 66 < 33)), [], 40)
+        x, y, key, is_open = (np.concatenate(v) for v in zip(*found.pairs(np.ones(len(found.at), bool)), strict=True))
+        assert ((y - x >= found.shortest) & (y - x <= found.shortest + passages.NEAR)).all()
+        for k, t, o in zip(key.tolist(), found.text[x].tolist(), is_open.tolist(), strict=True):
+            holders[k].add((number, t))
+            opened |= {k} if o else set()
+        batches.append((number, key, is_open, passages.Filed(key, found.text[x], 1, 1, 0)))
+    rows = []
+    for number, _, is_open, filed in batches:
+        flags = np.zeros(len(filed.key), bool)
+        flags[filed.which[is_open]] = True
+        rows.append({"bucket": 0, "batch": number, "prints": filed.blobs()[1][0], "opened": np.packbits(flags).tobytes()})
+    answers = {r["batch"]: {0: r["bits"]} for r in passages._open_answers(pa.Table.from_pylist(rows)).to_pylist()}
+    got, posted = set(), 0
+    for number, key, is_open, filed in batches:
+        filed.several &= np.bincount(filed.which, is_open, len(filed.key)) > 0
+        at = filed.marked(answers.get(number, {}))
+        got |= set(key[at].tolist())
+        posted += len(at)
+    assert got == {k for k in opened if len(holders[k]) > 1} and 0 < 5 * posted < sum(len(key) for _, key, _, _ in batches)
