@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import binaries, dropped, slices, small, staged, text_buffer
+from arrayloom.llm.common import binaries, bounded, dropped, slices, small, staged, text_buffer
 from arrayloom.llm.components import components
 from arrayloom.llm.words import U, grams, hashes, spans, stream, whole
 
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, agree: int =
 def _judged(docs: DataFrame, k: int, percent: int, agree: int) -> DataFrame:
     """id, key, n_shingles, component_id, component (its number, null for an empty set) of each row."""
     spark = docs.sparkSession
-    made, _ = staged(signatures(docs, k), "signatures")
+    made, _ = staged(signatures(bounded(docs), k), "signatures")
     grouped = made.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("id", "key")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes, _ = staged(grouped.select("class", "least.*", "n", "sig").withColumn("node", F.monotonically_increasing_id()), "classes")
     postings, at = staged(prefix_postings(classes, agree), "postings")

@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from arrayloom.llm.common import slices, text_buffer
+from arrayloom.llm.common import bounded, slices, text_buffer
 from arrayloom.llm.words import U, distinct, grams, hashes, mix, same, spans
 
 #: From so many bytes on, the lowest and the highest ratio that is kept.
@@ -141,4 +141,4 @@ def rejected_removed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(measures(part.column(text))["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.llm.common import binaries, slices, text_buffer
+from arrayloom.llm.common import binaries, bounded, slices, text_buffer
 from arrayloom.llm.words import U, distinct, mix, spans
 
 BITS, WINDOW, SIZES = 17, 16, (3, 4, 5)
@@ -297,7 +297,7 @@ def rejected_removed(docs: DataFrame, model: Model, limit: float = 0.3) -> DataF
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(shared.value.scores(part.column(text)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 __all__ = ["Model", "fit", "fold", "rejected_removed", "score", "subwords", "train", "training_sample"]

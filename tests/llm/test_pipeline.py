@@ -13,7 +13,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from arrayloom.llm import common, quality, queries, toxicity
+from arrayloom.llm import common, near, packing, passages, quality, queries, toxicity
 
 CONTRACT = {
     1: ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
@@ -145,3 +145,34 @@ def test_run_on_empty_tables(spark, tmp_path):
     for name in ("documents", "labels"):
         pq.write_table(pq.read_table(f"{tmp_path}/{name}.parquet").slice(0, 0), f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("operator", ["toxicity", "quality", "near", "passages", "packing"])
+def test_workers_get_bounded_batches(operator, spark):
+    """A batch has 4 MB and a row at most, whatever its number of rows; a session's own limit stays."""
+    run = {
+        "toxicity": lambda d: toxicity.rejected_removed(d, toxicity.train([], np.zeros(0, np.int64))),
+        "quality": quality.rejected_removed,
+        "near": near.duplicates_removed,
+        "passages": passages.passages_removed,
+        "packing": lambda d: packing.pack(d, queries.TOKENIZER),
+    }[operator]
+    few = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    large = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 5000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    measured = lambda: large.mapInArrow(sizes, "rows long, bytes long").collect()
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    try:
+        run(few).collect()
+        got = measured()
+        assert sum(r.rows for r in got) == 3000 and max(r.bytes for r in got) <= 4_000_000 + 5100
+        spark.conf.set(limit, "1000000")
+        run(few).collect()
+        assert max(r.bytes for r in measured()) <= 1_000_000 + 5100
+    finally:
+        spark.conf.unset(limit)
