@@ -147,7 +147,7 @@ def test_run_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("operator", ["toxicity", "quality", "near", "passages", "packing", "op1_mixture_packing"])
+@pytest.mark.parametrize("operator", ["toxicity", "quality", "near", "passages", "packing", "op1_mixture_packing", "op2_coordinate_join_near_duplicates"])
 def test_workers_get_bounded_batches(operator, spark, sf_dir):
     """A batch has 4 MB and a row at most, whatever its number of rows; a session's own limit stays."""
     run = {
@@ -157,6 +157,7 @@ def test_workers_get_bounded_batches(operator, spark, sf_dir):
         "passages": passages.passages_removed,
         "packing": lambda d: packing.pack(d, queries.TOKENIZER),
         "op1_mixture_packing": lambda _: queries.op1_mixture_packing(spark, sf_dir).limit(1),
+        "op2_coordinate_join_near_duplicates": lambda _: queries.op2_coordinate_join_near_duplicates(spark, sf_dir).limit(1),
     }[operator]
     few = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     large = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 5000) AS text")
