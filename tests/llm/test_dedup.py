@@ -365,3 +365,63 @@ def test_open_pairs_of_one_document_go_no_further():
         got |= set(key[at].tolist())
         posted += len(at)
     assert got == {k for k in opened if len(holders[k]) > 1} and 0 < 5 * posted < sum(len(key) for _, key, _, _ in batches)
+
+
+def test_documents_that_share_a_line_only_do_not_all_meet(spark, monkeypatch):
+    """Many documents with one line make no chain of each two; those whose words beside it agree too are found among them."""
+    rng = random.Random(31)
+    word = lambda: f"l{rng.randrange(10**7)}"
+    words = lambda n: [word() for _ in range(n)]
+    line, after, before = words(20), words(28), words(30)
+    rough = lambda part: [word() if i % 5 == 4 else w for i, w in enumerate(part)]
+    docs = [words(60) + line + words(60) for _ in range(150)]
+    docs[40] = words(60) + line + after + words(40)
+    docs[120] = words(30) + line + rough(after) + words(50)
+    docs[60] = words(40) + before + line + words(50)
+    docs[140] = words(50) + rough(before[:20]) + [word()] + before[20:] + line + words(50)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    made, aligned = [], passages._aligned
+
+    def counted(batches, chains_, least, percent):
+        made.append(chains_.count())
+        return aligned(batches, chains_, least, percent)
+
+    monkeypatch.setattr(passages, "_aligned", counted)
+    found = {(r.doc_id, r.source_doc_id): (r.start, r.end) for r in passages.repeated_passages(df).collect()}
+    assert set(found) == {(120, 40), (140, 60)}
+    assert found[120, 40][0] == 30 and found[120, 40][1] >= 70 and found[140, 60][1] == 101
+    assert sum(made) < 5 * len(docs)
+
+
+def test_stretches_of_passages_are_possible():
+    """Wherever a run of equal words and the words beside it align to a passage, the test that comes before says that they can."""
+    rng = random.Random(12)
+    word = lambda: rng.randrange(1, 2**32)
+    passed = refused = 0
+    for _ in range(1500):
+        share = rng.choice([0.1, 0.2, 0.3, 0.6, 1.0])
+
+        def noisy(part, share=share):
+            out = []
+            for w in part:
+                kind = rng.random() / share
+                out += [word()] if kind < 0.7 else [] if kind < 0.85 else [w, word()] if kind < 1 else [w]
+            return out
+
+        before, run, after = ([word() for _ in range(n)] for n in (rng.randrange(70), rng.randrange(14, 45), rng.randrange(70)))
+        docs = [before + run + after]
+        other = noisy(before)
+        docs.append([word() for _ in range(rng.randrange(80))] + other + run + noisy(after) + [word() for _ in range(rng.randrange(80))])
+        at = [len(before)]
+        at.append(next(i for i in range(len(docs[1])) if docs[1][i : i + len(run)] == run))
+        sizes = np.array([len(d) for d in docs], np.int32)
+        number = 5 << 24
+        this = passages.Batch(number, np.arange(2).tobytes(), sizes.tobytes(), np.array(docs[0] + docs[1], "<u4").tobytes(), raw=True)
+        x, y = np.array(at), np.array(at) + len(run) - passages.K
+        near_by = passages.Around([(number, *passages.Around.packed(this, np.arange(2), x, y))])
+        side = lambda d: (this.rows[d : d + 1], x[d : d + 1], y[d : d + 1] + passages.K)
+        possible = near_by.possible(side(1), side(0), 40, 80)[0]
+        found = list(passages.agreeing(*(np.array(docs[d], "<u4") for d in (1, 0)), [x[1], y[1]], [x[0], y[0]], 40, 80))
+        assert possible or not found
+        passed, refused = passed + bool(found), refused + (not possible)
+    assert passed > 300 and refused > 150
