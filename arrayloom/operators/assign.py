@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from arrayloom.functions.rows import minkowski
 
 
-def solve_square(cost: np.ndarray) -> np.ndarray:
-    """The column of each row of a finite square matrix so that the sum is least."""
-    n = len(cost)
-    u, v = np.zeros(n + 1), np.zeros(n + 1)
-    row_of = np.zeros(n + 1, np.int64)  # rows count from 1; 0 is free
+def solve(cost: np.ndarray) -> np.ndarray:
+    """The column of each row of a finite matrix, of no more rows than columns, so that the sum is least; columns too many stay free."""
+    n, m = cost.shape
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    row_of = np.zeros(m + 1, np.int64)  # rows count from 1; 0 is free
     for i in range(1, n + 1):
         row_of[0], at = i, 0
-        slack, via, done = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64), np.zeros(n + 1, bool)
+        slack, via, done = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
         while row_of[at]:
             done[at] = True
             r = row_of[at]
@@ -36,21 +36,23 @@ def solve_square(cost: np.ndarray) -> np.ndarray:
             row_of[at] = row_of[via[at]]
             at = via[at]
     out = np.empty(n, np.int64)
-    out[row_of[1:] - 1] = np.arange(n)
+    taken = np.flatnonzero(row_of[1:])
+    out[row_of[1:][taken] - 1] = taken
     return out
 
 
 def mincost(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost. +inf forbids a pair, -inf forces one where possible; missing rows or columns of an oblong matrix stay alone."""
     cost = np.asarray(cost, float)
-    n = max(cost.shape) if cost.size else 0
-    if not n:
+    if not cost.size:
         return []
-    full = np.full((n, n), np.inf)
-    full[: cost.shape[0], : cost.shape[1]] = cost
-    big = 2 * (n + np.abs(full[np.isfinite(full)]).sum())
-    finite = np.where(np.isposinf(full), big, np.where(np.isneginf(full), -big, full))
-    return [(i, int(j)) for i, j in enumerate(solve_square(finite)) if i < cost.shape[0] and j < cost.shape[1] and not np.isposinf(cost[i, j])]
+    big = 2 * (max(cost.shape) + np.abs(cost[np.isfinite(cost)]).sum())
+    finite = np.where(np.isposinf(cost), big, np.where(np.isneginf(cost), -big, cost))
+    if cost.shape[0] > cost.shape[1]:  # the fewer are assigned one after another, the more are not filled up to a square
+        pairs = sorted((int(i), j) for j, i in enumerate(solve(finite.T)))
+    else:
+        pairs = [(i, int(j)) for i, j in enumerate(solve(finite))]
+    return [(i, j) for i, j in pairs if not np.isposinf(cost[i, j])]
 
 
 def _assigned(edges: DataFrame, problem: list[str], i: str, j: str, weight: str, sign: int) -> DataFrame:

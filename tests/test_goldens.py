@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -177,6 +178,17 @@ def test_assignment_by_value_prefers_value_to_pairs(spark):
         assert total == pytest.approx(-best_by_brute_force(-np.maximum(m, 0)))
 
 
+def test_assignment_by_value_of_few_to_many(spark):
+    """Four rows and 900 columns: of each row only the four best columns can matter; a square of 900 takes minutes."""
+    worth = np.random.default_rng(21).integers(1, 10**6, (4, 900)).astype(float)
+    edges = spark.createDataFrame([(0, i, j, float(v)) for (i, j), v in np.ndenumerate(worth)], "p int, i int, j int, v double").coalesce(1)
+    best = np.unique(np.argsort(-worth, axis=1)[:, :4])
+    began = time.monotonic()
+    found = assign.maxvalue_assignment(edges, ["p"], "i", "j", "v").collect()
+    assert time.monotonic() - began < 10
+    assert sum(r.v for r in found) == -best_by_brute_force(-worth[:, best])
+
+
 def test_windows():
     w = slider.SlidingWindow((10, 10), (5, 5))
     assert [tuple((s.start, s.stop) for s in x) for x in w] == [((0, 5), (0, 5)), ((0, 5), (5, 10)), ((5, 10), (0, 5)), ((5, 10), (5, 10))]
