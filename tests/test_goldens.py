@@ -189,6 +189,20 @@ def test_assignment_by_value_of_few_to_many(spark):
     assert sum(r.v for r in found) == -best_by_brute_force(-worth[:, best])
 
 
+def test_assignment_by_cost_of_many_to_few():
+    """The same by cost, with either side the longer one, forbidden pairs and a forced one."""
+    cost = np.random.default_rng(22).integers(1, 10**6, (4, 900)).astype(float)
+    cost[1, ::3], cost[2, 5] = np.inf, -np.inf
+    best = np.unique(np.argsort(cost, axis=1)[:, :4])
+    finite = np.where(np.isneginf(cost), -(10.0**8), cost)
+    began = time.monotonic()
+    for m, pairs in ((cost, assign.mincost(cost)), (cost.T, [(j, i) for i, j in assign.mincost(cost.T)])):
+        assert sorted(pairs)[2] == (2, 5) and len(pairs) == 4 == len({j for _, j in pairs})
+        assert sum(finite[i, j] for i, j in pairs) == best_by_brute_force(finite[:, best])
+        assert assign.mincost(m) == sorted(assign.mincost(m))
+    assert time.monotonic() - began < 10
+
+
 def test_windows():
     w = slider.SlidingWindow((10, 10), (5, 5))
     assert [tuple((s.start, s.stop) for s in x) for x in w] == [((0, 5), (0, 5)), ((0, 5), (5, 10)), ((5, 10), (0, 5)), ((5, 10), (5, 10))]
