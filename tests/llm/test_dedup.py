@@ -425,3 +425,14 @@ def test_stretches_of_passages_are_possible():
         assert possible or not found
         passed, refused = passed + bool(found), refused + (not possible)
     assert passed > 300 and refused > 150
+
+
+def test_tables_of_all_documents_are_not_broadcast(spark):
+    """What batches unpack to, a row for each document, is larger than their files: Spark must not broadcast it by the size of these."""
+    rng = random.Random(77)
+    text = lambda n: " ".join(f"u{rng.randrange(10**7)}" for _ in range(n))
+    long = [text(60) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate([*long, *(x + " " + text(3) for x in long), *(text(3) for _ in range(200))])), "doc_id long, text string")
+    out = passages.repeated_passages(df, every_holder=False)
+    assert {(r.doc_id, r.source_doc_id) for r in out.collect()} == {(i + 5, i) for i in range(5)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
