@@ -436,3 +436,13 @@ def test_tables_of_all_documents_are_not_broadcast(spark):
     out = passages.repeated_passages(df, every_holder=False)
     assert {(r.doc_id, r.source_doc_id) for r in out.collect()} == {(i + 5, i) for i in range(5)}
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matches_leave_a_task_as_a_row_for_two_documents():
+    """All places are kept, whether few or many, and take less than a quarter of the room where many are near each other."""
+    places = [(b, a, (x << 32) | y) for b, a, n in ((7, 3, 60), (7, 4, 2), (9 << 40, 3, 9)) for x in range(n) for y in range(n)]
+    table = pa.table([np.array(c) for c in zip(*places, strict=True)], names=["b", "a", "m"])
+    packed = passages._packed_matches(table)
+    assert packed.num_rows == 3 and 4 * packed.nbytes < table.nbytes
+    assert [(r["b"], r["a"], m) for r in packed.to_pylist() for m in passages._unpacked_matches(r["m"]).tolist()] == places
+    assert passages._packed_matches(table.slice(0, 0)).num_rows == 0
