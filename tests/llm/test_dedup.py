@@ -446,3 +446,18 @@ def test_matches_leave_a_task_as_a_row_for_two_documents():
     assert packed.num_rows == 3 and 4 * packed.nbytes < table.nbytes
     assert [(r["b"], r["a"], m) for r in packed.to_pylist() for m in passages._unpacked_matches(r["m"]).tolist()] == places
     assert passages._packed_matches(table.slice(0, 0)).num_rows == 0
+
+
+def test_query_meets_all_holders(spark, tmp_path):
+    """The query finds the passage whose only earlier document is neither first nor previous holder of any of its seeds."""
+    queries = pytest.importorskip("arrayloom.llm.queries")
+    rng = random.Random(15)
+    word = lambda: f"m{rng.randrange(10**7)}"
+    passage = [word() for _ in range(60)]
+    rough = [word() if i % 8 == 7 else w for i, w in enumerate(passage)]
+    apart = [[word() for _ in range(60)] + passage[i : i + 7] + [word() for _ in range(60)] for i in range(0, 56, 8)]
+    docs = apart + [[word() for _ in range(50)] + rough + [word() for _ in range(50)]] + apart[::-1] + [[word() for _ in range(30)] + passage + [word() for _ in range(70)]]
+    docs = [d + [word()] for d in docs]
+    spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.source_doc_id) for r in queries.op5_chained_passages(spark, str(tmp_path)).collect()}
+    assert (len(docs) - 1, len(apart)) in found
