@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import re
 
 import numpy as np
@@ -427,6 +428,57 @@ def test_stretches_of_passages_are_possible():
     assert passed > 300 and refused > 150
 
 
+def crowded(docs, x, y, key):
+    """A table of posted pairs: of each document the places (x, y), all of one key, all open, with the words around them."""
+    sizes = np.array([len(d) for d in docs], np.int32)
+    number, text = 5 << 24, np.repeat(np.arange(len(docs)), [len(v) for v in x])
+    this = passages.Batch(number, np.arange(len(docs)).tobytes(), sizes.tobytes(), np.concatenate(docs).astype("<u4").tobytes(), raw=True)
+    x, y = np.concatenate(x), np.concatenate(y)
+    places = b"".join(passages._planes(v, n) for v, n in ((text, 2), (x, 4), (y - x, 1), (np.ones(len(x), np.int64), 1)))
+    stretches, words = passages.Around.packed(this, text, x, y)
+    row = {"batch": number, "seeds": passages._steps(np.full(len(x), key, np.uint64), 8), "places": zstandard.ZstdCompressor().compress(places)}
+    return this, pa.Table.from_pylist([row | {"doc_ids": passages._split(np.unique(text)), "stretches": stretches, "words": words}])
+
+
+def test_documents_with_a_passage_in_their_stretches_meet():
+    """Wherever equal words and what is beside them align to a passage the two documents meet; runs of less than `least` words don't make them."""
+    rng = random.Random(13)
+    word = lambda: rng.randrange(1, 2**32)
+    words = lambda n: [word() for _ in range(n)]
+    passed = refused = 0
+    for _ in range(600):
+        before, run, after, share = words(rng.randrange(60)), words(rng.randrange(14, 45)), words(rng.randrange(60)), rng.choice([0.1, 0.2, 0.3, 0.6, 1.0])
+        noisy = lambda part, share=share: [w for x in part for w in ([x] if rng.random() > share else rng.choice([[word()], [word()], [], [x, word()]]))]
+        docs = [words(rng.randrange(80)) + before + run + after, words(rng.randrange(80)) + noisy(before) + run + noisy(after) + words(rng.randrange(80))]
+        at = [next(i for i in range(len(d)) if d[i : i + len(run)] == run) for d in docs]
+        last = len(run) - passages.K
+        this, table = crowded(docs, [np.array([i]) for i in at], [np.array([i + last]) for i in at], 9)
+        near_by = passages.Around([(5 << 24, table["stretches"][0].as_py(), table["words"][0].as_py())])
+        meet = near_by.meeting(this.rows[1:], this.rows[:1], 40, 80)[0]
+        found = list(passages.agreeing(*(np.array(docs[d], "<u4") for d in (1, 0)), [at[1], at[1] + last], [at[0], at[0] + last], 40, 80))
+        assert meet or not found
+        passed, refused = passed + bool(found), refused + (not meet)
+    assert passed > 100 and refused > 50
+    docs = [words(70) + [7] * n + words(70) for n in (60, 39, 60)]
+    this, table = crowded(docs, [np.array([70])] * 3, [np.array([95])] * 3, 9)
+    near_by = passages.Around([(5 << 24, table["stretches"][0].as_py(), table["words"][0].as_py())])
+    assert near_by.meeting(this.rows[[1, 2, 2]], this.rows[[0, 0, 1]], 40, 80).tolist() == [False, True, False]
+
+
+def test_pairs_in_many_places_of_a_document_meet_by_their_seeds():
+    """Thirty documents of two runs, 676 pairs from the one to the other in each: 2 * 676 matches of two documents, not made from 676 * 676."""
+    rng = random.Random(14)
+    docs = [[rng.randrange(10, 2**32) for _ in range(60)] + [7] * 30 + [8] * 30 + [rng.randrange(10, 2**32) for _ in range(60)] for _ in range(30)]
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(60, 86), np.arange(90, 116), indexing="ij"))
+    _, table = crowded(docs, [x] * 30, [y] * 30, 9)
+    began = time.monotonic()
+    found = pa.concat_tables(passages._all_holders(table, 40, 80))
+    assert time.monotonic() - began < 20
+    assert found.num_rows == 435 * 2 * 676
+    m = found["m"].to_numpy()[:1352]
+    assert {(int(v >> 32), int(v & 0xFFFFFFFF)) for v in m} == {(b, a) for v in (x, y) for b in v.tolist() for a in v.tolist()}
+
+
 def test_tables_of_all_documents_are_not_broadcast(spark):
     """What batches unpack to, a row for each document, is larger than their files: Spark must not broadcast it by the size of these."""
     rng = random.Random(77)
