@@ -368,6 +368,42 @@ def test_open_pairs_of_one_document_go_no_further():
     assert got == {k for k in opened if len(holders[k]) > 1} and 0 < 5 * posted < sum(len(key) for _, key, _, _ in batches)
 
 
+def test_open_pairs_go_further_only_from_documents_after_the_first():
+    """A bucket asks for the pairs that are open in a document after the first one with them (in the same batch, or in another one by
+    classes of doc_ids, where these tell), and for no others; crowds are those of the pairs that are open in several documents."""
+    rng = np.random.default_rng(8)
+    ids = rng.permutation(400).reshape(8, 50)
+    edges = np.arange(20, 400, 20)
+    holders, rows, keys = collections.defaultdict(list), [], {}
+    for number in range(8):
+        n = 3000
+        text, key, is_open = rng.integers(0, 50, n), passages.mix(rng.integers(0, 6000, n).astype(np.uint64)), rng.random(n) < 0.2
+        filed = passages.Filed(key, text, 1, 1, 0)
+        for k, t, o in zip((key >> np.uint64(32)).tolist(), text.tolist(), is_open.tolist(), strict=True):
+            holders[k].append((int(ids[number][t]), number, o))
+        order = np.argsort(ids[number])
+        rank = np.argsort(order).astype(np.int32)
+        standing = filed.standing(rank[text], np.searchsorted(edges, ids[number][order], "right"), is_open)
+        opened, places = np.zeros(len(filed.key), bool), np.bincount(filed.which).astype(np.uint8)
+        opened[filed.which[is_open]] = True
+        press = zstandard.ZstdCompressor()
+        rows.append({"bucket": 0, "batch": number, "prints": filed.blobs()[1][0], "opened": np.packbits(opened).tobytes(), "places": press.compress(places.tobytes()), "standing": press.compress(standing.tobytes())})
+        keys[number] = filed.key.tolist()
+    marks = lambda r, c: {k for k, m in zip(keys[r["batch"]], np.unpackbits(np.frombuffer(r[c], np.uint8)).tolist(), strict=False) if m}
+    answers = passages._open_answers(pa.Table.from_pylist(rows)).to_pylist()
+    needed = {k for k, held in holders.items() if any(o and d > min(held)[0] for d, _, o in held)}
+    unknown = {k for k, held in holders.items() if any(o and any(b != n and d // 20 == e // 20 for e, b, _ in held) for d, n, o in held)}
+    shared = {k for k, held in holders.items() if any(o for *_, o in held) and len({d for d, *_ in held}) > 1}
+    for r in answers:
+        got = marks(r, "bits")
+        assert needed & set(keys[r["batch"]]) <= got <= (needed | unknown)
+        assert marks(r, "many") == {k for k in shared if len(holders[k]) > passages.MANY} & set(keys[r["batch"]])
+    assert len(shared - needed - unknown) > 500
+    without = [{c: v for c, v in r.items() if c != "standing"} for r in rows]
+    marked = {k for r in passages._open_answers(pa.Table.from_pylist(without)).to_pylist() for k in marks(r, "bits")}
+    assert marked == {k for k in shared if len({n for _, n, _ in holders[k]}) > 1}  # all, where the order isn't told
+
+
 def test_documents_that_share_a_line_only_do_not_all_meet(spark, monkeypatch):
     """Many documents with one line make no chain of each two; those whose words beside it agree too are found among them."""
     rng = random.Random(31)
